@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import tokenize
+from . import pii, tokenize
 
-QUERIES = {"p6_ids": tokenize.p6_ids, "p6_token_counts": tokenize.p6_token_counts}
+QUERIES = {
+    "p4_found": pii.p4_found,
+    "p4_redacted": pii.p4_redacted,
+    "p6_ids": tokenize.p6_ids,
+    "p6_token_counts": tokenize.p6_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}
