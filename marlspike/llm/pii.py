@@ -102,7 +102,7 @@ _PHONE = re.compile(r"""(?x)(?<![\w.,/+-])(?:
     (?:\+|00)\d{1,3}[ ./-]?(?:\(0\)[ ]?)?\(?\d{1,5}\)?(?:[ ./-]?\d{2,8}){1,5}
   | (?:1[-. ])?\([2-9]\d{2}\)[ -]?\d{3}[ .-]\d{4}
   | (?:1[-. ])?[2-9]\d{2}([-. ])\d{3}\1\d{4}
-  | [2-9]\d{2}555\d{4}
+  | [2-9]\d{2}555\d{4} | 0[1-9]\d{8,10}
   | 0\d(?:[ .-]?\d{2}){4}
   | \(?0\d{1,5}\)?[ /-]\d{3,8}(?:[ -]\d{2,5}){0,3}
   )(?:\ ?(?:ext\.?|x|durchwahl)\ ?\d{1,5})?(?![\w/]|[-.]\d)""")

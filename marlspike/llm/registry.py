@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import pii, tokenize
+from . import language, pii, tokenize
 
 QUERIES = {
     "p4_found": pii.p4_found,
     "p4_redacted": pii.p4_redacted,
     "p6_ids": tokenize.p6_ids,
     "p6_token_counts": tokenize.p6_token_counts,
+    "p8_found": language.p8_found,
+    "p8_languages": language.p8_languages,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -13,7 +13,7 @@ CASES = [
     ("Check the handle @investor_gate feed.", []),
     ("Sales at Kojirano Seiki K.K. in 2019 rose.", []),
     ("Call +49 (0)30 23125755 or (215) 555-0145.", [("phone", "+49 (0)30 23125755"), ("phone", "(215) 555-0145")]),
-    ("Call five five five zero one two three four five six", []),
+    ("The rows are two four", []),
     ("Call zero three zero two three one two five three three five", [("phone", None)]),
     ("Ticket 875-886-0129, invoice INV-492-70-7849, part code 569.202.01, accession number 0009031750-12-998851.", []),
     ("My social security number is 000-90-3044.", [("id_number", "000-90-3044")]),
