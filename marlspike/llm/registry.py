@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, pii, tokenize
+from . import language, pairs, pii, tokenize
 
 QUERIES = {
+    "p1_found": pairs.p1_found,
+    "p1_defect_counts": pairs.p1_defect_counts,
     "p4_found": pii.p4_found,
     "p4_redacted": pii.p4_redacted,
     "p6_ids": tokenize.p6_ids,
