@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, pairs, pii, tokenize
+from . import language, leakage, pairs, pii, tokenize
 
 QUERIES = {
     "p1_found": pairs.p1_found,
@@ -11,6 +11,8 @@ QUERIES = {
     "p4_redacted": pii.p4_redacted,
     "p6_ids": tokenize.p6_ids,
     "p6_token_counts": tokenize.p6_token_counts,
+    "p7_found": leakage.p7_found,
+    "p7_leaks_per_item": leakage.p7_leaks_per_item,
     "p8_found": language.p8_found,
     "p8_languages": language.p8_languages,
 }
