@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import boilerplate, language, leakage, pairs, pii, tokenize
+from . import boilerplate, language, leakage, pairs, pii, scans, tokenize
 
 QUERIES = {
     "p1_found": pairs.p1_found,
     "p1_defect_counts": pairs.p1_defect_counts,
     "p2_found": boilerplate.p2_found,
     "p2_cleaned": boilerplate.p2_cleaned,
+    "p3_found": scans.p3_found,
+    "p3_paragraphs": scans.p3_paragraphs,
     "p4_found": pii.p4_found,
     "p4_redacted": pii.p4_redacted,
     "p6_ids": tokenize.p6_ids,
