@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .operators import units
-
-QUERIES = {
-    "p5_found": units.p5_found,
-    "p5_by_unit": units.p5_by_unit,
-}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = units.p5_found
+from functools import reduce
+
+from .operators import bm25, fusion, irmetrics, units, vectors
+
+_MODULES = (bm25, vectors, fusion, irmetrics)
+QUERIES = reduce(lambda a, m: a | m.QUERIES, _MODULES, {"p5_found": units.p5_found, "p5_by_unit": units.p5_by_unit})
+ORACLE_SQL: dict[str, str] = reduce(lambda a, m: a | m.SQL, _MODULES, {})
+FLAGSHIP = bm25.bm25_topk
