@@ -1,0 +1,145 @@
+"""Scans of prompts and documents by the rule tables, and text preparation, as queries over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import guards, text
+from ..session import table
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chat_requests").select("request_id", "message", "temperature").distinct()
+
+
+def injection_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk of each distinct message."""
+    return _messages(spark, sf_dir).select("request_id", *(c.alias(n) for n, c in guards.injection_risk(F.col("message")).items()))
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of each personal-data rule in each distinct message."""
+    return _messages(spark, sf_dir).select("request_id", *(c.alias(n) for n, c in guards.personal_counts(F.col("message")).items()))
+
+
+def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked, where that changes them."""
+    masked = guards.mask_personal(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", masked.alias("masked"), "text").where(F.col("masked") != F.coalesce("text", F.lit(""))).select("doc_id", "masked")
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of secrets and length of the masked text of each document."""
+    s = guards.scan_secrets(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s["secrets"]).alias("n_secrets"), F.length(s["masked"]).alias("masked_chars"))
+
+
+def exploit_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of code-exploit rules that each document meets."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(guards.scan_exploits(F.col("text"))).alias("n_rules"))
+
+
+def indirect_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with hidden instructions, and their length without them."""
+    s = guards.scan_indirect(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", s["compromised"].alias("compromised"), F.length(s["sanitized"]).alias("clean_chars"))
+
+
+def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without markup and blank lines."""
+    return table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", text.clean_html(F.col("text")).alias("clean"))
+
+
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short form of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both token estimates of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("prompt_tokens"), text.chunk_tokens(F.col("text")).alias("chunk_tokens"))
+
+
+def doc_length_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, sum, least, largest, mean, median and deviation of the documents' lengths per source."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(n).alias("total_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.round(F.avg(n), 4).alias("mean_chars"),
+                                                                  F.median(n).alias("median_chars"), F.round(F.coalesce(F.stddev_samp(n), F.lit(0.0)), 4).alias("stdev_chars"))
+
+
+def prompt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache key of each distinct message."""
+    return _messages(spark, sf_dir).select("request_id", text.cache_key(F.lit("m"), F.col("message"), F.col("temperature")).alias("cache_key"))
+
+
+def history_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History of each distinct request as `Role: content` lines."""
+    return table(spark, sf_dir, "chat_requests").select("request_id", text.format_history(F.col("history")).alias("history")).distinct()
+
+
+def ordered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sources of each answer, first seen first."""
+    names = F.array_distinct(F.transform("sources", lambda s: s["source"]))
+    return table(spark, sf_dir, "chat_responses").where(F.size("sources") > 0).select("request_id", F.array_join(names, "|").alias("sources")).distinct()
+
+
+def dedup_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that stand under several ids: hash, number of documents and first id."""
+    return table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") > 1)
+
+
+def incremental_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents loaded from 2024 on whose text no earlier load holds (an anti-join with the manifest of hashes)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "loaded_at", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"))
+    cut = F.lit("2024-01-01").cast("timestamp_ntz")
+    manifest = docs.where(F.col("loaded_at") < cut).select("text_sha").distinct()
+    return docs.where(F.col("loaded_at") >= cut).join(manifest, "text_sha", "left_anti").select("doc_id", "text_sha")
+
+
+def latest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert by id: the latest row of each page."""
+    return table(spark, sf_dir, "financebench_docs").groupBy("id").agg(F.max("created_at").alias("created_at"), F.max_by(F.sha2("content", 256), "created_at").alias("content_sha"))
+
+
+def _n(pattern: str, col: str = "message") -> str:
+    return f"len(regexp_extract_all(coalesce({col}, ''), '{pattern.replace(chr(39), chr(39) * 2)}'))"
+
+
+def _hit(patterns: list[str], col: str) -> str:
+    return " + ".join(f"regexp_matches({col}, '{p.replace(chr(39), chr(39) * 2)}')::INT" for p in patterns)
+
+
+def _sub(rules: list[tuple[str, str]], col: str) -> str:
+    out = f"coalesce({col}, '')"
+    for p, to in rules:
+        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    return out
+
+
+_MSG = "(SELECT DISTINCT request_id, message, temperature FROM chat_requests)"
+_ZW = "translate(coalesce(message, ''), '" + text.ZERO_WIDTH + "', '')"
+_SPACE = r"[ \t\n\r\f\v]+"
+_COLLAPSED = f"trim(regexp_replace({{}}, '{_SPACE}', ' ', 'g'), ' ')"
+_NAMES = [(p, f"[REDACTED_{n}]") for n, p in guards.SECRETS]
+_TOKENS = f"greatest(1, floor((len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')) * 1.3::DOUBLE + length(text) / 4.0::DOUBLE) / 2.0::DOUBLE))"
+_LEN = "length(coalesce(text, ''))"
+SQL = {
+    "injection_risk": f"SELECT request_id, h AS n_high, m AS n_medium, round(least(1.0::DOUBLE, h * 0.6::DOUBLE + m * 0.3::DOUBLE), 4) AS risk, h > 0 OR round(least(1.0::DOUBLE, h * 0.6::DOUBLE + m * 0.3::DOUBLE), 4) >= 0.5 AS malicious FROM (SELECT request_id, {_hit(guards.HIGH_RISK, 't')} AS h, {_hit(guards.MEDIUM_RISK, 't')} AS m FROM (SELECT request_id, {_ZW} AS t FROM {_MSG}))",
+    "pii_counts": f"SELECT request_id, {', '.join(f'{_n(p)} AS n_{n.lower()}' for n, p, _ in guards.PERSONAL)} FROM {_MSG}",
+    "pii_mask": f"SELECT doc_id, masked FROM (SELECT doc_id, coalesce(text, '') AS text, {_sub([(p, r) for _, p, r in guards.PERSONAL], 'text')} AS masked FROM documents) WHERE masked <> text",
+    "secret_scan": "SELECT doc_id, " + " + ".join(f"regexp_matches({_sub(_NAMES[:i], 'text')}, '{p.replace(chr(39), chr(39) * 2)}')::INT" for i, (p, _) in enumerate(_NAMES)) + f" AS n_secrets, length({_sub(_NAMES, 'text')}) AS masked_chars FROM documents",
+    "exploit_scan": f"SELECT doc_id, {_hit([p for _, p in guards.EXPLOITS], chr(39).join(['coalesce(text, ', '', ')']))} AS n_rules FROM documents",
+    "indirect_scan": f"SELECT doc_id, ({_hit(guards.INDIRECT, chr(39).join(['coalesce(text, ', '', ')']))}) > 0 AS compromised, length({_sub([(p, '[SUSPICIOUS_DOCUMENT_INSTRUCTION_REMOVED]') for p in guards.INDIRECT], 'text')}) AS clean_chars FROM documents",
+    "html_clean": r"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\r?\n'), lambda x: regexp_replace(x, '^[ \t]+|[ \t]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS clean FROM documents WHERE text IS NOT NULL",
+    "previews": f"SELECT doc_id, CASE WHEN length(c) > 120 THEN left(c, 120) || '...' ELSE c END AS preview FROM (SELECT doc_id, {_COLLAPSED.format('text')} AS c FROM documents)",
+    "token_estimates": f"SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE {_TOKENS}::INT END AS prompt_tokens, greatest(1, ceil({_LEN} / 4.0::DOUBLE))::INT AS chunk_tokens FROM documents",
+    "doc_length_metrics": f"SELECT source, count(*) AS n, sum({_LEN})::BIGINT AS total_chars, min({_LEN}) AS min_chars, max({_LEN}) AS max_chars, round(avg({_LEN}), 4) AS mean_chars, median({_LEN}) AS median_chars, round(coalesce(stddev_samp({_LEN}), 0), 4) AS stdev_chars FROM documents GROUP BY source",
+    "prompt_keys": "SELECT request_id, 'llm:cache:' || sha256('m|' || regexp_replace(lower(" + _COLLAPSED.format("coalesce(message, '')") + "), '[?!.,;:]+$', '') || '|' || printf('%.2f', coalesce(temperature, 0.0::DOUBLE))) AS cache_key FROM " + _MSG,
+    "history_format": "SELECT DISTINCT request_id, CASE WHEN coalesce(len(history), 0) > 0 THEN array_to_string(list_transform(history, lambda t: upper(left(t.role, 1)) || lower(substr(t.role, 2)) || ': ' || t.content), chr(10)) ELSE 'None provided.' END AS history FROM chat_requests",
+    "ordered_sources": "SELECT DISTINCT request_id, array_to_string(list_filter(list_transform(sources, lambda s, i: CASE WHEN list_position(list_transform(sources, lambda z: z.source), s.source) = i THEN s.source END), lambda x: x IS NOT NULL), '|') AS sources FROM chat_responses WHERE len(sources) > 0",
+    "dedup_by_hash": "SELECT sha256(text) AS text_sha, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "incremental_docs": "WITH d AS (SELECT doc_id, loaded_at, sha256(coalesce(text, '')) AS text_sha FROM documents) SELECT doc_id, text_sha FROM d WHERE loaded_at >= TIMESTAMP '2024-01-01' AND text_sha NOT IN (SELECT text_sha FROM d WHERE loaded_at < TIMESTAMP '2024-01-01')",
+    "latest_pages": "SELECT id, created_at, sha256(content) AS content_sha FROM (SELECT DISTINCT id, created_at, content, row_number() OVER (PARTITION BY id ORDER BY created_at DESC) AS r FROM financebench_docs) WHERE r = 1",
+}
+QUERIES = {f.__name__: f for f in (injection_risk, pii_counts, pii_mask, secret_scan, exploit_scan, indirect_scan, html_clean, previews, token_estimates, doc_length_metrics, prompt_keys, history_format, ordered_sources, dedup_by_hash, incremental_docs, latest_pages)}
