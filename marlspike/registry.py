@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from .operators import bm25, filings, fusion, irmetrics, screening, telemetry, units, vectors
+from .operators import bm25, chunking, filings, fusion, irmetrics, screening, telemetry, units, vectors
 
-_MODULES = (bm25, vectors, fusion, irmetrics, telemetry, screening, filings)
+_MODULES = (bm25, vectors, fusion, irmetrics, telemetry, screening, filings, chunking)
 QUERIES = reduce(lambda a, m: a | m.QUERIES, _MODULES, {"p5_found": units.p5_found, "p5_by_unit": units.p5_by_unit})
 ORACLE_SQL: dict[str, str] = reduce(lambda a, m: a | m.SQL, _MODULES, {})
 FLAGSHIP = bm25.bm25_topk
