@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.text import chunk_tokens
 from ..session import spread, table
@@ -47,7 +48,7 @@ def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(sentences(F.col(text_col))).alias("n", "sentence"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hashed_vector(text: pd.Series) -> pd.Series:
     """Offline stand-in for an embedding model: term counts hashed into DIMENSIONS buckets (Arrow batches)."""
 
