@@ -21,7 +21,7 @@ from .vectors import cosine
 ABBREVIATIONS = ("mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "vs.", "etc.", "e.g.", "i.e.", "approx.", "inc.", "ltd.", "dept.", "fig.", "al.", "no.", "vol.", "est.",
                  "jan.", "feb.", "mar.", "apr.", "jun.", "jul.", "aug.", "sep.", "oct.", "nov.", "dec.")
 BOUNDARY = r"""(?<=[.?!])\s+(?=[A-Z0-9"'(\[#])"""
-DIMENSIONS = 64
+DIMENSIONS = 256
 _TERM = re.compile(r"\w+(?:[-_]\w+)*")
 MIN_CHARS, MAX_CHARS = 100, 1800
 THRESHOLDS = ("percentile", "standard_deviation", "interquartile", "gradient", "fixed")
