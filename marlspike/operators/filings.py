@@ -9,7 +9,7 @@ from ..functions import finance
 from ..session import table
 
 KEY_METRICS = ("REVENUE", "GROSS_PROFIT", "OPERATING_INCOME", "RD_EXPENSE", "OPERATING_CASH_FLOW", "CAPEX")
-ROW = r"^([A-Za-z][A-Za-z\s,()'/&\-]{2,80}?)\s{2,}([$()\d,.\s\-]{3,80})$"
+ROW = r"^([A-Za-z](?:[A-Za-z\s,'/&\-]|\([A-Za-z0-9*]{1,3}\)){2,80}?)\s{2,}([$()\d,.\s\-]{3,80})$"
 FOOTNOTE_REF = r"\((\d+|[a-z]|\*)\)"
 
 

@@ -117,8 +117,8 @@ def _arrow(kind: str) -> pa.DataType:
 class ClusteredIndex:
     """Vectors clustered round k-means centroids; a search reads the clusters nearest to the query only."""
 
-    def __init__(self, corpus: DataFrame, clusters: int = 32, rounds: int = 12):
-        """Centroids are fitted on at most FIT_ROWS rows (smallest id hashes); every row of `corpus` (doc_id, vector) is assigned."""
+    def __init__(self, corpus: DataFrame, clusters: int = 32, rounds: int = 12, spill: int = 2):
+        """Centroids are fitted on at most FIT_ROWS rows (smallest id hashes); every row of `corpus` (doc_id, vector) goes to its `spill` nearest."""
         sample = corpus.where(F.col("vector").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("vector").collect()
         x = np.array([r[0] for r in sample], np.float64).reshape(len(sample), -1)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -129,7 +129,7 @@ class ClusteredIndex:
                 if (owner == j).any():
                     c = x[owner == j].mean(0)
                     self.centroids[j] = c / max(np.linalg.norm(c), 1e-12)
-        self.assigned = self._assign(corpus.where(F.col("vector").isNotNull()).select("doc_id", "vector"), 1)
+        self.assigned = self._assign(corpus.where(F.col("vector").isNotNull()).select("doc_id", "vector"), spill)
 
     def _assign(self, df: DataFrame, probes: int) -> DataFrame:
         """One row per vector and probed cluster."""
@@ -145,10 +145,10 @@ class ClusteredIndex:
 
         return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, vector array<{df.schema['vector'].dataType.elementType.simpleString()}>, cluster int")
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int = 14) -> DataFrame:
         """Approximate cosine top-k of `queries` (query_id, vector): an equi-join on the cluster, salted by AQE where one is hot."""
         q = self._assign(queries.select("query_id", F.col("vector")), probes).withColumnRenamed("vector", "qv")
-        pairs = self.assigned.join(q, "cluster").select("query_id", "doc_id", F.round(cosine(F.col("qv"), F.col("vector")), 6).alias("score"))
+        pairs = self.assigned.join(q, "cluster").select("query_id", "doc_id", F.round(cosine(F.col("qv"), F.col("vector")), 6).alias("score")).distinct()
         return top_k(pairs, k).select("query_id", "doc_id", "rank", "score")
 
 
