@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import small_or_shuffled, table
+from ..session import materialise, small_or_shuffled, table
 
 CURRENCIES = ("USD", "EUR", "GBP", "JPY", "INR", "CHF")
 
@@ -198,31 +198,43 @@ def _name_suffix(c: Column) -> Column:
     return F.regexp_extract(F.coalesce(c, F.lit("")), r"^.*?(?:[(\[]| [-–—] |, )(?!.*(?:[\[]| [-–—] |, ))(.*?)[)\]]?\s*$", 1)
 
 
+def read_phrases(phrases: DataFrame) -> DataFrame:
+    """What each distinct phrase tells: `phrases` (is_name, phrase) gains node, currency, power, per_share and counts_shares."""
+    text = F.when(F.col("is_name"), _name_suffix(F.col("phrase"))).otherwise(F.col("phrase"))
+    df = phrases.withColumn("t", unit_text(text))
+    df = df.withColumns({"u": unit_word(F.col("t")), "s": scale_word(F.col("t")), "currency": named_currency(F.col("t"))})
+    per_share = F.when(F.col("is_name"), F.col("phrase").rlike(_EPS_NAME)).otherwise(F.col("t").rlike(_PER_SHARE))
+    node = F.when(~F.col("t").rlike(_PER_SHARE) & F.col("currency").isNull(), _lookup(UNIT_WORDS | {"t": (*UNIT_WORDS["t"], "t")}, F.col("u")))
+    return df.select("is_name", "phrase", node.alias("node"), "currency", _lookup(SCALE_WORDS, F.col("s")).alias("power"), per_share.alias("per_share"), (F.col("is_name") & F.col("phrase").rlike(r"(?i)(?<![a-z])shares(?![a-z])")).alias("counts_shares"))
+
+
 def read_quantities(items: DataFrame) -> DataFrame:
     """Adds number, power, source_unit and target_unit (the common unit, null if unknown) to line items; records without a number are left out.
 
     Scale and unit are each taken from the first of raw_value, unit, raw_name, first header that names it; a header's scale
-    holds for plain amounts only. Needs line_item_id, value, raw_value, unit, raw_name, headers; any may be null.
+    holds for plain amounts only. Needs line_item_id, value, raw_value, unit, raw_name, headers; any may be null. The texts
+    round the numbers repeat a few spellings, so each distinct phrase is read once and joined back.
     """
-    name = F.coalesce(F.col("raw_name"), F.lit(""))
+    blank = lambda c: F.coalesce(c, F.lit(""))
     df = printed_number(items.select("line_item_id", "value", "raw_value", "unit", "raw_name", F.get(F.col("headers"), F.lit(0)).alias("header")), "raw_value")
-    df = df.withColumn("number", F.when(F.col("raw_value").isNull(), F.col("value").cast("decimal(28,8)")).otherwise(F.col("number")))
-    for t, c in (("t1", F.col("rest")), ("t2", F.col("unit")), ("t3", _name_suffix(F.col("raw_name"))), ("t4", F.col("header"))):
-        df = df.withColumn(t, unit_text(c))
-    ts = [F.col(f"t{i}") for i in (1, 2, 3, 4)]
-    df = df.withColumns({f"u{i}": unit_word(F.col(f"t{i}")) for i in (1, 2, 3)} | {f"s{i}": scale_word(F.col(f"t{i}")) for i in (1, 2, 3, 4)} | {f"c{i}": named_currency(F.col(f"t{i}")) for i in (1, 2, 3, 4)})
-    table_of = UNIT_WORDS | {"t": (*UNIT_WORDS["t"], "t")}
-    named = F.coalesce(*(x for i in (1, 2, 3) for x in (F.when(~ts[i - 1].rlike(_PER_SHARE) & F.col(f"c{i}").isNull(), _lookup(table_of, F.col(f"u{i}"))), F.col(f"c{i}"))),
-                       F.when(name.rlike(r"(?i)(?<![a-z])shares(?![a-z])"), F.lit("shares")), F.col("c4"))
-    df = df.withColumns({"eps": ts[0].rlike(_PER_SHARE) | ts[1].rlike(_PER_SHARE) | name.rlike(_EPS_NAME), "named": named})
-    amount = F.col("named").rlike(r"^[A-Z]{3}(?:_cent)?$")
-    powers = [_lookup(SCALE_WORDS, F.col(f"s{i}")) for i in (1, 2, 3)]
     # The row marker keeps later filters from being pushed into, and so copied over, the staged expressions below.
+    df = df.select("line_item_id", "value", "raw_value", "unit", "raw_name", F.when(F.col("raw_value").isNull(), F.col("value").cast("decimal(28,8)")).otherwise(F.col("number")).alias("number"),
+                   blank(F.col("rest")).alias("p1"), blank(F.col("unit")).alias("p2"), blank(F.col("raw_name")).alias("p3"), blank(F.col("header")).alias("p4"), F.monotonically_increasing_id().alias("_row"))
+    df = df.where(F.col("number").isNotNull() & (F.col("_row") >= 0))
+    each = df.select(F.explode(F.array(*(F.struct(F.lit(i == 3).alias("is_name"), F.col(f"p{i}").alias("phrase")) for i in (1, 2, 3, 4)))).alias("x")).select("x.*").distinct()
+    told = materialise(read_phrases(each))
+    told = small_or_shuffled(told, 200)
+    for i in (1, 2, 3, 4):
+        side = told.where(F.col("is_name") == F.lit(i == 3)).select(F.col("phrase").alias(f"p{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("node", "currency", "power", "per_share", "counts_shares")))
+        df = df.join(side, f"p{i}")
+    named = F.coalesce(*(F.col(f"{c}{i}") for i in (1, 2, 3) for c in ("node", "currency")), F.when(F.col("counts_shares3"), F.lit("shares")), F.col("currency4"))
+    df = df.withColumns({"named": named, "eps": F.col("per_share1") | F.col("per_share2") | F.col("per_share3")})
+    amount = F.col("named").rlike(r"^[A-Z]{3}(?:_cent)?$")
     read = df.select(
-        "line_item_id", "value", "raw_value", "unit", "raw_name", "number", F.monotonically_increasing_id().alias("_row"),
-        F.coalesce(*powers, F.when(amount & ~F.col("eps"), _lookup(SCALE_WORDS, F.col("s4"))), F.lit(0)).alias("power"),
+        "line_item_id", "value", "raw_value", "unit", "raw_name", "number",
+        F.coalesce("power1", "power2", "power3", F.when(amount & ~F.col("eps"), F.col("power4")), F.lit(0)).alias("power"),
         F.when(F.col("eps") & amount, F.concat("named", F.lit("/share"))).otherwise(F.col("named")).alias("source_unit"))
-    return read.withColumn("target_unit", canonical_target(F.col("source_unit"))).where(F.col("number").isNotNull() & (F.col("_row") >= 0))
+    return read.withColumn("target_unit", canonical_target(F.col("source_unit")))
 
 
 def canonical_target(source: Column) -> Column:
