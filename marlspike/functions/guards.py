@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Detection rules, in order.
@@ -60,12 +60,15 @@ def _hits(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, (text.rlike(p).cast("int") for p in patterns))
 
 
-def injection_risk(text: Column) -> dict[str, Column]:
-    """Columns n_high, n_medium, risk (0 to 1) and malicious of a text; null counts as empty."""
-    t = F.translate(F.coalesce(text, F.lit("")), "​‌‍﻿⁠‎‏", "")
-    high, medium = _hits(t, HIGH_RISK), _hits(t, MEDIUM_RISK)
-    risk = F.least(F.lit(1.0), high * F.lit(HIGH_WEIGHT) + medium * F.lit(MEDIUM_WEIGHT))
-    return {"n_high": high, "n_medium": medium, "risk": F.round(risk, 4), "malicious": (high > 0) | (risk >= THREAT)}
+def injection_risk(df: DataFrame, col: str) -> DataFrame:
+    """Adds n_high, n_medium, risk (0 to 1) and malicious for the text in `col`; null counts as empty.
+
+    The rules are counted in a stage of their own, so that the figures built on them don't run them again.
+    """
+    df = df.withColumn("_plain", F.translate(F.coalesce(F.col(col), F.lit("")), "​‌‍﻿⁠‎‏", ""))
+    df = df.withColumns({"n_high": _hits(F.col("_plain"), HIGH_RISK), "n_medium": _hits(F.col("_plain"), MEDIUM_RISK)}).drop("_plain")
+    df = df.withColumn("risk", F.round(F.least(F.lit(1.0), F.col("n_high") * F.lit(HIGH_WEIGHT) + F.col("n_medium") * F.lit(MEDIUM_WEIGHT)), 4))
+    return df.withColumn("malicious", (F.col("n_high") > 0) | (F.col("risk") >= THREAT))
 
 
 def personal_counts(text: Column) -> dict[str, Column]:

@@ -15,7 +15,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def injection_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of each distinct message."""
-    return _messages(spark, sf_dir).select("request_id", *(c.alias(n) for n, c in guards.injection_risk(F.col("message")).items()))
+    return guards.injection_risk(_messages(spark, sf_dir), "message").select("request_id", "n_high", "n_medium", "risk", "malicious")
 
 
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

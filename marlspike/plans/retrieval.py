@@ -43,23 +43,28 @@ def variants(queries: DataFrame, transform: str = "none", model: Model = NO_MODE
 
 @dataclass
 class Corpus:
-    """Documents with their lexical index and vectors."""
+    """Documents to search, with their lexical index where there is one, and the embedding."""
 
     docs: DataFrame
-    index: bm25.Index
+    index: bm25.Index | None = None
     embed: Callable[[Column], Column] = field(default=hashed_vector)
 
     @staticmethod
     def of(docs: DataFrame, embed: Callable[[Column], Column] = hashed_vector) -> "Corpus":
         """`docs` has doc_id and text."""
-        return Corpus(docs, bm25.build(docs), embed)
+        return Corpus(docs, None, embed)
 
     def dense(self, queries: DataFrame, k: int, where: DataFrame | None = None) -> DataFrame:
         pool = self.docs if where is None else self.docs.join(where, "doc_id", "left_semi")
         return vectors.nearest(pool.select("doc_id", self.embed(F.col("text")).alias("vector")), queries.select("query_id", self.embed(F.col("query")).alias("vector")), k, digits=4)
 
     def sparse(self, queries: DataFrame, k: int, where: DataFrame | None = None) -> DataFrame:
-        return bm25.search(self.index, queries, k, where)
+        if self.index is not None:
+            return bm25.search(self.index, queries, k, where)
+        if where is None:
+            return bm25.scan_search(self.docs, queries, k)
+        flagged = self.docs.join(where.select("doc_id", F.lit(True).alias("_wanted")).distinct(), "doc_id", "left")
+        return bm25.scan_search(flagged, queries, k, where=F.col("_wanted"))
 
 
 def retrieve(corpus: Corpus, queries: DataFrame, k: int = 5, mode: str = "hybrid", fuse: str = "rrf", alpha: float = 0.5, where: DataFrame | None = None, transform: str = "none", model: Model = NO_MODEL,

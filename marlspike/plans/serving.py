@@ -13,10 +13,10 @@ from . import retrieval
 
 def guard_inbound(requests: DataFrame) -> DataFrame:
     """Adds blocked, reasons and clean (message with personal data and secrets masked); a scan that can't decide blocks."""
-    risk, secret = guards.injection_risk(F.col("message")), guards.scan_secrets(guards.mask_personal(F.col("message")))
-    exploits = guards.scan_exploits(F.col("message"))
-    reasons = F.array_compact(F.array(F.when(risk["malicious"], F.lit("injection")), F.when(F.size(exploits) > 0, F.lit("exploit")), F.when(F.trim(F.coalesce("message", F.lit(""))) == "", F.lit("empty"))))
-    return requests.withColumns({"reasons": reasons, "clean": secret["masked"]}).withColumn("blocked", F.coalesce(F.size("reasons") > 0, F.lit(True)))
+    secret, exploits = guards.scan_secrets(guards.mask_personal(F.col("message"))), guards.scan_exploits(F.col("message"))
+    reasons = F.array_compact(F.array(F.when(F.col("malicious"), F.lit("injection")), F.when(F.size(exploits) > 0, F.lit("exploit")), F.when(F.trim(F.coalesce("message", F.lit(""))) == "", F.lit("empty"))))
+    scanned = guards.injection_risk(requests, "message").withColumns({"reasons": reasons, "clean": secret["masked"]}).drop("n_high", "n_medium", "risk", "malicious")
+    return scanned.withColumn("blocked", F.coalesce(F.size("reasons") > 0, F.lit(True)))
 
 
 def check_outbound(answers: DataFrame, col: str = "answer") -> DataFrame:

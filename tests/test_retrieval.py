@@ -18,6 +18,7 @@ def test_bm25_by_hand(spark):
     index = bm25.build(_docs(spark))
     q = spark.createDataFrame([("a", "sales sales CAFÉ"), ("b", "unknown"), ("c", None)], "query_id string, query string")
     got = [(r.query_id, r.doc_id, r.rank, r.score) for r in bm25.search(index, q).orderBy("rank").collect()]
+    assert [(r.query_id, r.doc_id, r.rank, r.score) for r in bm25.scan_search(_docs(spark), q, block_terms=2).orderBy("rank").collect()] == got
     n, avg = 6, (6 + 3 + 0 + 0 + 3 + 3) / 6
     idf = lambda df: math.log(1 + (n - df + 0.5) / (df + 0.5))
     part = lambda tf, dl: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))
