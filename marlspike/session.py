@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +40,29 @@ def small_or_shuffled(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMI
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a compute-heavy input only when its files give fewer splits than there are cores."""
+    """Repartition a compute-heavy input only when its files give fewer splits than there are cores.
+
+    Meant for plans without shuffles: of others, asking for the number of partitions would run stages.
+    """
     want = df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
     if have >= want:
         return df
     return df.repartition(want * 2, *keys)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once per application, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="marlspike-src-")) / "marlspike_src.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
