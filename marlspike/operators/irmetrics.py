@@ -23,17 +23,32 @@ def evaluate(rankings: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 3,
         raise ValueError("k must be at least 1")
     positive = qrels.where(F.col("rel") > 0)
     judged = rankings.select("query_id", "rank", "doc_id").join(positive.select("query_id", "doc_id", F.col("rel").cast("double").alias("rel")), ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0.0)))
+    ideal = positive.select("query_id", F.col("rel").cast("double").alias("rel")).withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rel").desc()))).where(F.col("i") <= max(ks))
+    total = positive.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    every = qrels.select("query_id").union(rankings.select("query_id")).distinct()
+    return _metrics(judged, ideal, total, every, ks, exponential)
+
+
+def evaluate_judged(judged: DataFrame, totals: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """As `evaluate`, for rankings whose rows carry their judgment: `judged` (query_id, rank, rel 0 or 1), `totals` (query_id, n_relevant).
+
+    For judgments by a rule, such as an equal label, of which no table of pairs is wanted.
+    """
+    if any(k < 1 for k in ks):
+        raise ValueError("k must be at least 1")
+    ideal = totals.where(F.col("n_relevant") > 0).select("query_id", F.lit(1.0).alias("rel"), F.explode(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(max(ks))).cast("int"))).alias("i"))
+    return _metrics(judged.select("query_id", "rank", F.col("rel").cast("double").alias("rel")), ideal, totals, totals.select("query_id"), ks, True)
+
+
+def _metrics(judged: DataFrame, ideal: DataFrame, total: DataFrame, every: DataFrame, ks: tuple[int, ...], exponential: bool) -> DataFrame:
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     judged = judged.withColumn("found", F.sum((F.col("rel") > 0).cast("int")).over(running)).where(F.col("rank") <= max(ks))
-    ideal = positive.select("query_id", F.col("rel").cast("double").alias("rel")).withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rel").desc()))).where(F.col("i") <= max(ks))
     discount = lambda r: F.log2(r + F.lit(1.0))
     at = lambda cond, value: F.sum(F.when(cond, value).otherwise(F.lit(0.0)))
     got = judged.groupBy("query_id").agg(*(a for k in ks for a in (
         F.sum(((F.col("rank") <= k) & (F.col("rel") > 0)).cast("int")).alias(f"hits_{k}"), F.min(F.when((F.col("rank") <= k) & (F.col("rel") > 0), F.col("rank"))).alias(f"first_{k}"),
         at(F.col("rank") <= k, gain(F.col("rel"), exponential) / discount(F.col("rank"))).alias(f"dcg_{k}"), at((F.col("rank") <= k) & (F.col("rel") > 0), F.col("found") / F.col("rank")).alias(f"ap_{k}"))))
     best = ideal.groupBy("query_id").agg(*(at(F.col("i") <= k, gain(F.col("rel"), exponential) / discount(F.col("i"))).alias(f"idcg_{k}") for k in ks))
-    total = positive.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    every = qrels.select("query_id").union(rankings.select("query_id")).distinct()
     wide = every.join(got, "query_id", "left").join(best, "query_id", "left").join(total, "query_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -49,23 +64,25 @@ def summarise(per_query: DataFrame) -> DataFrame:
     return per_query.groupBy("k").agg(F.count("*").alias("n_queries"), *(F.round(F.avg(c), 6).alias(a) for c, a in (("precision", "precision"), ("recall", "recall"), ("hit", "hit_rate"), ("rr", "mrr"), ("ndcg", "ndcg"), ("ap", "map"))))
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = vectors._vectors(spark, sf_dir)
-    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "label")
-    # a document is relevant if it has the query's label: at most labels x queries x documents of the label
-    qrels = q.join(v.select("doc_id", "label"), "label").select("query_id", "doc_id", F.lit(1.0).alias("rel"))
-    return vectors.nearest(v, vectors.query_vectors(spark, sf_dir), 10), qrels
+def _per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each query vector's ten nearest, a vector being relevant where it has the query's label."""
+    v = vectors._vectors(spark, sf_dir).select("doc_id", "label")
+    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("label").alias("wanted"))
+    ranked = vectors.nearest(vectors._vectors(spark, sf_dir), vectors.query_vectors(spark, sf_dir), 10)
+    judged = ranked.join(v, "doc_id").join(q, "query_id").select("query_id", "rank", F.coalesce(F.col("label") == F.col("wanted"), F.lit(False)).cast("int").alias("rel"))
+    totals = q.join(v.groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("n_relevant")), "wanted").select("query_id", "n_relevant")
+    return evaluate_judged(judged, totals)
 
 
 def ir_metrics_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each query vector's ranking, with the label as judgment."""
-    out = evaluate(*_judged(spark, sf_dir))
+    out = _per_query(spark, sf_dir)
     return out.select("query_id", "k", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "hit", "rr", "dcg", "ndcg", "ap")))
 
 
 def ir_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Their means per k."""
-    return summarise(evaluate(*_judged(spark, sf_dir)))
+    return summarise(_per_query(spark, sf_dir))
 
 
 _PER = f"""

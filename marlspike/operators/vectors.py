@@ -14,6 +14,8 @@ from .bm25 import top_k
 
 #: Rows that k-means is fitted on, chosen by hash of the id; every row is indexed.
 FIT_ROWS = 20_000
+#: Queries that are compared in one pass.
+BLOCK_QUERIES = 2000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,10 +50,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _blocks(queries: DataFrame, limit: int) -> Iterator[tuple[list, np.ndarray]]:
-    """The stated query set in blocks whose vectors fit `limit` bytes."""
+    """The stated query set in blocks of at most BLOCK_QUERIES whose vectors fit `limit` bytes."""
     ids, rows, size = [], [], 0
     for r in queries.toLocalIterator():
-        if ids and size + 8 * len(r[1]) > limit:
+        if ids and (size + 8 * len(r[1]) > limit or len(ids) >= BLOCK_QUERIES):
             yield ids, np.array(rows, np.float64)
             ids, rows, size = [], [], 0
         ids.append(r[0])

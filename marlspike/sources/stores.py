@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterable
 
@@ -49,8 +48,15 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, path: str, schema: str, partition_by: tuple[str, ...] = ()):
         self.spark, self.path, self.schema, self.partition_by = spark, path, schema, partition_by
 
+    def _fs(self, path: str):
+        """The file system and path object of `path`, whatever storage it lies on."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
     def _versions(self) -> list[int]:
-        return sorted(int(d) for d in os.listdir(self.path) if d.isdigit() and os.path.exists(f"{self.path}/{d}/_SUCCESS")) if os.path.isdir(self.path) else []
+        fs, root = self._fs(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1]))
 
     def read(self) -> DataFrame:
         """Rows of the last version; none yet is an empty table."""
@@ -62,7 +68,9 @@ class ChunkStore:
         staged = f"{self.path}/.{n}-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*self.partition_by) if self.partition_by else df.write
         writer.parquet(staged)
-        os.replace(staged, f"{self.path}/{n}")
+        fs, at = self._fs(staged)
+        if not fs.rename(at, self._fs(f"{self.path}/{n}")[1]):
+            raise RuntimeError(f"version {n} of {self.path} could not be put in place")
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> None:
         """Insert `rows`, replacing rows of the same id; of several new rows of one id the one greatest in `order` stands."""
