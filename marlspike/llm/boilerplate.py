@@ -185,8 +185,8 @@ def find_repeated_lines(df: DataFrame, id_col: str = "id", text_col: str = "cont
     1 and lines without letters or digits don't count; long pages are read whole; other columns are not read; an empty table
     gives an empty result. Nothing is grouped by page or source alone, so a source that holds most pages is no hot key.
     """
-    src = df.select(F.col(id_col).alias("page_id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    pages = spread(pages_once(src, "page_id", "source", "body").where(F.col("source").isNotNull()).select("page_id", "source", F.xxhash64("source").alias("source_key"), F.translate("body", "\x00", " ").alias("body")))
+    src = spread(df.select(F.col(id_col).alias("page_id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("body")))
+    pages = pages_once(src, "page_id", "source", "body").where(F.col("source").isNotNull()).select("page_id", "source", F.xxhash64("source").alias("source_key"), F.translate("body", "\x00", " ").alias("body"))
     frequent = materialise(repeated_chunks(pages))
     lines = materialise(_candidates(pages, frequent))
     totals = src.where(F.col("source").isNotNull() & F.col("page_id").isNotNull()).select("source", "page_id").distinct().groupBy("source").agg(F.count("*").alias("pages"))
