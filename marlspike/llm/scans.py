@@ -213,8 +213,8 @@ class ScanFindings:
     """Findings over a table of pages: `lines` (id, line_no, kind) and `repairs` (id, line_no, word, top)."""
 
     def __init__(self, df: DataFrame, id_col: str = "id", text_col: str = "content"):
-        src = df.select(F.col(id_col).alias("page_id"), F.col(text_col).alias("body"))
-        pages = spread(pages_once(src, "page_id", "body").where(F.col("body").isNotNull()))
+        src = spread(df.select(F.col(id_col).alias("page_id"), F.col(text_col).alias("body")))
+        pages = pages_once(src, "page_id", "body").where(F.col("body").isNotNull())
         counts = materialise(corpus_counts(pages))
         words, pairs = counts.where("kind = 'w'").select("term", "n"), counts.where("kind = 'b'").select("term", "n")
         swaps = materialise(misreadings(words))
