@@ -26,6 +26,8 @@ from ..session import spread, table
 WINDOW, EDITS, Q = 15, 2, 8
 #: Characters of passages in one broadcast block.
 BLOCK_CHARS = 16_000_000
+#: Characters of documents matched at once, and pairs of document and passage counted in one array (memory bounds only).
+SLICE_CHARS, CELLS = 400_000, 30_000_000
 _DROP = re.compile(r"[^\w\s]|_")
 _BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -109,15 +111,27 @@ class PassageIndex:
         lens = np.diff(np.concatenate([[0], cuts, [len(at)]]))
         keep = np.repeat(lens >= self.run, lens)
         at, slot = at[keep], slot[keep]
-        if not len(at):
-            return set()
         lengths = np.array([len(d) for d in docs])
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        # Nor can a document's bands hold more shared q-grams than it has positions left.
+        home = np.searchsorted(starts, at, side="right") - 1
+        keep = np.bincount(home, minlength=len(docs))[home] >= self.bound.min()
+        at, slot = at[keep], slot[keep]
+        if not len(at):
+            return set()
         n = self.count[slot]
         where = np.repeat(at, n)
         index = np.repeat(self.first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         passage = self.owner[index]
         doc = np.searchsorted(starts, where, side="right") - 1
+        # A band can't hold more shared q-grams than the whole pair: pairs below the bound go before anything is sorted.
+        cell = doc * len(self.items) + passage
+        if len(docs) * len(self.items) <= CELLS:
+            enough = np.bincount(cell, minlength=len(docs) * len(self.items))[cell] >= self.bound[passage]
+        else:
+            _, inverse, n_cell = np.unique(cell, return_inverse=True, return_counts=True)
+            enough = n_cell[inverse] >= self.bound[passage]
+        where, index, passage, doc = where[enough], index[enough], passage[enough], doc[enough]
         local = where - starts[doc]
         diagonal = local - self.pos[index] + 2 * self.band + (1 << 20)
         found: set[tuple[int, int, int, int]] = set()
@@ -209,6 +223,20 @@ def blocks(rows: Iterable, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[str,
         yield block
 
 
+def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """Normalised texts in runs of at most `limit` characters (one text at least), with the place of the first."""
+    first, run, size = 0, [], 0
+    for i, t in enumerate(texts):
+        text = normalise(t)
+        if run and size + len(text) > limit:
+            yield first, run
+            first, run, size = i, [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield first, run
+
+
 def find_leaks(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, item) of every document that holds a passage of the item, each pair once.
 
@@ -224,22 +252,17 @@ def find_leaks(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", tex
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = index.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(at, 1000)
-                    docs_ = [normalise(t) for t in batch.column(1).to_pylist()]
+            for batch in batches:
+                out: list[tuple[int, str]] = []
+                for first, texts in slices(batch.column(1).to_pylist()):
                     split: dict[int, list[str]] = {}
-                    pairs, out = set(), []
-                    for d, p, lo, hi in sorted(ix.candidates(docs_)):
-                        if (d, ix.items[p]) not in pairs and verify(ix.words[p], docs_[d], lo, hi, split.setdefault(d, docs_[d].split(" "))):
+                    pairs = set()
+                    sought = [(d, p, lo, hi) for d, p, lo, hi in sorted(ix.candidates(texts))] + [(d, p, 0, len(t)) for p in ix.always for d, t in enumerate(texts)]
+                    for d, p, lo, hi in sought:
+                        if (d, ix.items[p]) not in pairs and verify(ix.words[p], texts[d], lo, hi, split.setdefault(d, texts[d].split(" "))):
                             pairs.add((d, ix.items[p]))
-                            out.append((d, ix.items[p]))
-                    for p in ix.always:
-                        for d, text in enumerate(docs_):
-                            if (d, ix.items[p]) not in pairs and banded(ix.words[p], split.setdefault(d, text.split(" "))):
-                                pairs.add((d, ix.items[p]))
-                                out.append((d, ix.items[p]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for d, _ in out], pa.int32())), pa.array([i for _, i in out], pa.string())], ["leak_key", "item"])
+                            out.append((first + d, ix.items[p]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for d, _ in out], pa.int32())), pa.array([i for _, i in out], pa.string())], ["leak_key", "item"])
 
         found.append(src.mapInArrow(run, f"leak_key {kind}, item string"))
     if not found:
