@@ -280,19 +280,29 @@ def reflow(df: DataFrame, id_col: str = "id", text_col: str = "content") -> Data
     paragraph strung together. Windows run within one page.
     """
     found = ScanFindings(df, id_col, text_col)
-    pages = pages_once(df, id_col, text_col).where(F.col(text_col).isNotNull())
-    lines = pages.select(F.col(id_col).alias("page_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).withColumn("line_no", F.col("pos").cast("bigint") + 1)
-    drop = found.lines.where(F.col("kind").isin("header", "page_no")).select(F.col(id_col).alias("page_id"), "line_no")
-    swaps = found.lines_misread.groupBy("page_id", "line_no").agg(F.collect_set(F.struct("word", "top")).alias("swaps"))
-    lines = lines.join(drop, ["page_id", "line_no"], "left_anti").join(swaps, ["page_id", "line_no"], "left").join(found.hyphens.select("page_id", "line_no", F.lit(True).alias("broken")), ["page_id", "line_no"], "left")
+    swap_type = "array<struct<line_no:bigint,word:string,top:string>>"
+    of_page = lambda kinds: F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("line_no")))
+    marks = found.lines.groupBy(F.col(id_col).alias("page_id")).agg(of_page(("header", "page_no")).alias("gone"), of_page(("hyphen",)).alias("cut"))
+    swaps = found.lines_misread.groupBy("page_id").agg(F.collect_set(F.struct("line_no", "word", "top")).alias("swaps"))
+    # One join brings a page's findings to its text; all that follows is hashed by page already.
+    pages = pages_once(df.select(F.col(id_col).alias("page_id"), F.col(text_col).alias("body")), "page_id", "body").where(F.col("body").isNotNull())
+    pages = pages.join(marks.join(swaps, "page_id", "left"), "page_id", "left")
+    none = F.array().cast("array<bigint>")
     fix = lambda acc, s: F.regexp_replace(acc, F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])\Q"), s["word"], F.lit(r"\E(?![\p{L}\p{N}])")), s["top"])
-    lines = lines.withColumn("line", F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<word:string,top:string>>")), F.col("line"), fix))
+
+    def repaired(line: Column, i: Column) -> Column:
+        n = (i + 1).cast("bigint")
+        text = F.when(F.col("swaps").isNull(), line).otherwise(F.aggregate(F.filter(F.coalesce("swaps", F.array().cast(swap_type)), lambda s: s["line_no"] == n), line, fix))
+        return F.struct(n.alias("line_no"), text.alias("line"), F.array_contains(F.coalesce("cut", none), n).alias("broken"))
+
+    kept = F.filter(F.transform(F.split("body", "\n"), repaired), lambda s: ~F.array_contains(F.coalesce("gone", none), s["line_no"]))
+    lines = pages.select("page_id", F.explode(kept).alias("s")).select("page_id", "s.*")
     page = Window.partitionBy("page_id").orderBy("line_no")
     before = F.lag("line").over(page)
     table_row = F.col("line").rlike(r"\S\s{2,}\S")
     lines = lines.withColumn("starts", (F.trim("line") == "") | before.isNull() | (F.trim(before) == "") | table_row | before.rlike(r"\S\s{2,}\S") | (F.lag("line_no").over(page) == 1))
     lines = lines.withColumn("para", F.sum(F.col("starts").cast("int")).over(page)).where(F.trim("line") != "")
-    text = F.array_sort(F.collect_list(F.struct("line_no", "line", F.coalesce("broken", F.lit(False)).alias("broken"))))
+    text = F.array_sort(F.collect_list(F.struct("line_no", "line", "broken")))
     join = F.aggregate(text, F.struct(F.lit("").alias("t"), F.lit(True).alias("glue")), lambda acc, s: F.struct(
         F.concat(acc["t"], F.when(acc["glue"], F.lit("")).otherwise(F.lit(" ")), F.when(s["broken"], F.regexp_replace(F.rtrim(s["line"]), f"[{_MARKS}]$", "")).otherwise(F.trim(s["line"]))).alias("t"), s["broken"].alias("glue")), lambda acc: acc["t"])
     return lines.groupBy("page_id", "para").agg(join.alias("paragraph")).select(F.col("page_id").alias(id_col), F.col("para").cast("bigint").alias("para_no"), "paragraph")
