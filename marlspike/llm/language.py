@@ -46,6 +46,8 @@ SEED_WEIGHT = 60
 TEMPER = 0.22
 #: Nats that a further language, and a change of language between sentences, must gain.
 SET_PENALTY, SWITCH_PENALTY = 6.0, 3.0
+#: Words from which a piece in upper case is taken as a sentence; shorter ones are mostly names, split off at INC. or CO.
+UPPER_WORDS = 6
 
 _SPLIT = re.compile(r"(?:(?<=[.!?…;:])[\"'”»)\]]*\s+(?=[\"'“„«(\[¿¡*#-]*\s*[A-ZÀ-ÖØ-ÞА-ЯŁŚŻŹĆŃÓ0-9])|[\r\n]+|(?<=[.!?…])\s*(?:[*#>|]|\d+[.)])\s+)")
 _QUOTED = re.compile(r"[“„«\"][^”“»\"\n]{1,120}[”“»\"]|‘[^’\n]{1,80}’")
@@ -58,19 +60,35 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SPLIT.split(_QUOTED.sub(" ", text)) if s and not s.isspace()]
 
 
+def upper_case(words: list[str]) -> bool:
+    """Whether most words of more than one letter are written in capitals, and enough to be a sentence, not a name."""
+    longer = [w for w in words if len(w) > 1]
+    return len(words) >= UPPER_WORDS and 2 * sum(w.isupper() for w in longer) > len(longer)
+
+
 def evidence(sentence: str, strict: bool = True) -> str:
     """Lower-case words of a sentence that speak for its language, between blanks.
 
-    Markup and addresses are left out, and (strict) words with a capital behind the first, which are mostly names.
+    Markup and addresses are left out, and (strict) words with a capital behind the first, which are mostly names. In a
+    sentence written in upper case capitals tell nothing: there all words stay.
     """
     s = _MARKUP.sub(" ", sentence) if strict else sentence
     words = _WORD.findall(s)
     words = [w for w, before in zip(words, ["", *words]) if w != before]
-    if strict:
+    if strict and not upper_case(words):
         words = [w for i, w in enumerate(words) if not w[0].isupper() or (i == 0 and not w.isupper() and len(words) > 1 and words[1][0].islower())]
     return f" {' '.join(words).lower()} " if words else ""
 
 
+def document_evidence(text: str) -> list[str]:
+    """Evidence of each sentence of `text`; where no sentence has any by the strict rules, of each by the loose ones."""
+    pieces = sentences(text)
+    found = [evidence(s) for s in pieces]
+    if not any(found):
+        found = [evidence(s, strict=False) for s in pieces]
+    return found if any(found) else [evidence(text, strict=False)]  # all in quotes: the whole text speaks
+
+
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash buckets of all n-grams of `texts`, the text each belongs to, and the start of each text's run in sorted order."""
     joined = "\x00".join(texts) + "\x00\x00\x00\x00"
@@ -218,9 +236,7 @@ def detect_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for i, text in enumerate(batch.column(2).to_pylist()):
                     if not text or not _WORD.search(text):
                         continue
-                    ev = [evidence(s) for s in sentences(text)]
-                    if not any(ev):
-                        ev = [evidence(text, strict=False)]
+                    ev = document_evidence(text)
                     flat += ev
                     bounds.append(len(flat))
                     keep.append(i)

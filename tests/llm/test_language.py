@@ -38,6 +38,15 @@ def test_label_names(spark):
     assert got == ["en", "en", "pt", None, None, None, None, "de", None]
 
 
+def test_upper_case(spark):
+    plant = "THE COMPANY SIGNED A CONTRACT WITH SUPPLIERS IN THE NORTH."
+    extra = [(2001, EN.upper(), "xx"), (2002, DE.upper() + "\n" + FR.upper() + "\n" + ES.upper(), "de"), (2003, EN + "\n" + DE.upper(), "en"), (2004, f"{plant} (\u682a\u5f0f\u4f1a\u793e) {plant}", "en"),
+             (2005, f"{DE.upper()} PER QUILLANDRA FOODS CO. {DE.upper()}", "de"), (2006, "Der Bericht\nAnnual Review", "de")]
+    got = {r.doc_id: [s.seg_lang for s in r.segments] for r in lg.detect_segments(spark.createDataFrame(_docs() + extra, "doc_id bigint, text string, lang string")).where("doc_id > 2000").collect()}
+    assert got[2001] == ["en"] and got[2002] == ["de", "fr", "es"] and got[2003] == ["en", "de"] and got[2004] == ["en"] and got[2005] == ["de"] and len(got) == 6
+    assert lg.document_evidence("ANNUAL REVIEW.\nDER BERICHT.") == [" annual review ", " der bericht "]
+
+
 def test_mixture_proportions():
     ll = np.full((10, 9), -50.0)
     ll[:7, 0] = -10
