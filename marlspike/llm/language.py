@@ -10,6 +10,7 @@ estimated proportions gives the segments.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -205,8 +206,8 @@ def infer(ll: np.ndarray) -> tuple[list[tuple[int, int, int, float]], np.ndarray
 
 def label_language(label: Column) -> Column:
     """The code of the language that a label names, null if it names none of the nine."""
-    head = F.regexp_extract(F.lower(F.trim(label)), r"^([^\W\d_]+)", 1)
-    pairs = [F.lit(x) for g, names in LABELS.items() for n in names.split() for x in (n, g)]
+    head = F.regexp_extract(F.lower(F.trim(label)), r"^([\p{L}\p{M}]+)", 1)
+    pairs = [F.lit(x) for g, names in LABELS.items() for n in names.split() for form in {n, unicodedata.normalize("NFD", n)} for x in (form, g)]
     return F.try_element_at(F.create_map(*pairs), head)
 
 

@@ -38,6 +38,14 @@ def test_label_names(spark):
     assert got == ["en", "en", "pt", None, None, None, None, "de", None]
 
 
+def test_labels_beyond_ascii(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("fran\u00e7ais",), ("Espa\u00f1ol (ES)",), ("portugu\u00eas",), ("\u0420\u0443\u0441\u0441\u043a\u0438\u0439",), ("franc\u0327ais",), ("espa\u00f1a",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "lang string").coalesce(1).select(lg.label_language(F.col("lang"))).collect()]
+    assert got == ["fr", "es", "pt", "ru", "fr", None]
+
+
 def test_upper_case(spark):
     plant = "THE COMPANY SIGNED A CONTRACT WITH SUPPLIERS IN THE NORTH."
     extra = [(2001, EN.upper(), "xx"), (2002, DE.upper() + "\n" + FR.upper() + "\n" + ES.upper(), "de"), (2003, EN + "\n" + DE.upper(), "en"), (2004, f"{plant} (\u682a\u5f0f\u4f1a\u793e) {plant}", "en"),
