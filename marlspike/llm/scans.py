@@ -115,6 +115,20 @@ def skeleton(c: Column, sequences: bool) -> Column:
     return F.translate(c, *SINGLES)
 
 
+def readings(c: Column) -> Column:
+    """Keys that a word shares with its misreadings, in whatever order its glyph sequences overlap.
+
+    The plain skeleton and that with all sequences replaced; beside them, compared with plain skeletons, the word with one kind of
+    sequence replaced throughout and with each single place of a sequence replaced.
+    """
+    glyphs = F.create_map(*(F.lit(x) for pair in SEQUENCES for x in pair))
+    at = lambda i: F.try_element_at(glyphs, F.substr(c, i, F.lit(2)))
+    places = F.filter(F.sequence(F.lit(1), F.length(c) - 1), lambda i: at(i).isNotNull())
+    single = F.transform(places, lambda i: F.concat(F.substr(c, F.lit(1), i - 1), at(i), F.substr(c, i + 2)))
+    plain = F.concat(F.array(c, *(F.replace(c, F.lit(a), F.lit(b)) for a, b in SEQUENCES)), single)
+    return F.array_distinct(F.concat(F.transform(plain, lambda w: F.concat(F.lit("1"), skeleton(w, False))), F.array(F.concat(F.lit("2"), skeleton(c, True)))))
+
+
 def corpus_counts(pages: DataFrame) -> DataFrame:
     """(kind, term, n): counts of words (kind w) and of pairs of neighbouring plain words, the second in lower case (kind b), over all pages."""
 
@@ -150,7 +164,7 @@ def corpus_counts(pages: DataFrame) -> DataFrame:
 
 def misreadings(words: DataFrame) -> DataFrame:
     """(variant, top, n, top_n): rare forms with the frequent form of the same skeleton; `words` has term, n."""
-    keyed = words.select("term", "n", F.explode(F.array_distinct(F.array(F.concat(F.lit("1"), skeleton(F.col("term"), False)), F.concat(F.lit("2"), skeleton(F.col("term"), True))))).alias("key"))
+    keyed = words.select("term", "n", F.explode(readings(F.col("term"))).alias("key"))
     plain = ~F.col("term").rlike(r"[0-9@$|!]")
     best = keyed.where(plain & (F.col("n") >= TOP_COUNT)).groupBy("key").agg(F.max(F.struct("n", "term")).alias("best"))
     joined = keyed.join(best, "key").where((F.col("term") != F.col("best.term")) & (F.col("best.n") >= RATIO * F.col("n")))

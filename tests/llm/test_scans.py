@@ -29,6 +29,13 @@ def test_findings(spark, monkeypatch, block):
     assert {i for i, _, _ in got} == {"n"} and len(got) == len(set(got))
 
 
+def test_overlapping_sequences(spark):
+    true = {"returned": ["returried", "retumed"], "recognized": ["recogriized"], "administrative": ["admiriistrative"], "premium": ["premiiim"], "alternative-price": ["alterriative-price"], "clearing": ["dearing"]}
+    words = [(w, 500) for w in true] + [(v, 1) for vs in true.values() for v in vs] + [("a", 3), ("unlike", 2)]
+    got = {(r.variant, r.top) for r in sc.misreadings(spark.createDataFrame(words, "term string, n bigint")).collect()}
+    assert got == {(v, w) for w, vs in true.items() for v in vs}
+
+
 def test_empty(spark):
     assert sc.find_scan_noise(spark.createDataFrame([], SCHEMA)).count() == 0
 
