@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.stores import ChunkStore
 from ..session import table
@@ -43,34 +42,90 @@ def over_limit(stream: DataFrame, client: str, ts: str, width: str, limit: int,
     return src.groupBy(F.window(ts, width).alias("w"), client).agg(F.count("*").alias("n_requests")).where(F.col("n_requests") > limit).select(client, F.col("w.start").alias("window_start"), "n_requests")
 
 
-def cached_lookups(stream: DataFrame, tenant: str, key: str, ts: str, capacity: int, ttl_seconds: float) -> DataFrame:
+class CachedLookups:
+    """Lookups of a stream in per-tenant caches, replayed batch by batch; `cached_lookups` says how."""
+
+    def __init__(self, rows: DataFrame, capacity: int, ttl_seconds: float):
+        """`rows` is a stream of tenant, k, t (seconds)."""
+        self.rows, self.capacity, self.ttl_seconds = rows, capacity, ttl_seconds
+
+    def replay(self, batch: DataFrame, caches: DataFrame | None) -> DataFrame:
+        """(tenant, k, hit, place, expires) after the lookups of `batch` in the state `caches` of the same columns.
+
+        Lookups have `hit`; the others are the caches afterwards, `place` counting from the least recently used key. Rows are hashed
+        on the tenant and sorted within the task, through which they stream: the memory is one cache's keys.
+        """
+        tenant, capacity, ttl = batch.columns[0], self.capacity, self.ttl_seconds
+        kind = batch.schema[tenant].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, cache, begun = None, OrderedDict(), False
+            schema = None
+
+            def emitted(out: list[tuple]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+            def kept() -> list[tuple]:
+                return [(now, k, None, i, x) for i, (k, x) in enumerate(cache.items())]
+
+            for part in batches:
+                schema = pa.schema([(tenant, part.schema.field(0).type), ("k", pa.string()), ("hit", pa.bool_()), ("place", pa.int32()), ("expires", pa.float64())])
+                out = []
+                for who, k, t, place, expires in zip(*(c.to_pylist() for c in part.columns)):
+                    if not begun or who != now:
+                        if begun:
+                            out += kept()
+                        now, cache, begun = who, OrderedDict(), True
+                    if place is not None:
+                        cache[k] = expires
+                        continue
+                    t = float("nan") if t is None else t
+                    old = cache.pop(k, None)
+                    hit = old is not None and (ttl <= 0 or t < old)
+                    cache[k] = old if hit else t + ttl
+                    if len(cache) > capacity:
+                        cache.popitem(last=False)
+                    out.append((who, k, hit, None, None))
+                yield emitted(out)
+            if begun:
+                yield emitted(kept())
+
+        lookups = batch.select(tenant, "k", "t", F.lit(None).cast("int").alias("place"), F.lit(None).cast("double").alias("expires"))
+        rows = lookups if caches is None else lookups.unionByName(caches.where(F.col("place").isNotNull()).select(tenant, "k", F.lit(None).cast("double").alias("t"), "place", "expires"))
+        ordered = rows.repartition(tenant).sortWithinPartitions(tenant, F.col("place").asc_nulls_last(), F.col("t").asc_nulls_last(), F.col("k").asc_nulls_last())
+        return ordered.mapInArrow(run, f"{tenant} {kind}, k string, hit boolean, place int, expires double")
+
+    def run_to_end(self, path: str) -> None:
+        """Replay everything that is there now: lookups below `path`/rows, the caches after each batch below `path`/caches.
+
+        Both are written by batch, so that a batch taken again after a failure replaces what it left.
+        """
+
+        def write(batch: DataFrame, n: int) -> None:
+            spark, schema = batch.sparkSession, f"{batch.columns[0]} {batch.schema[0].dataType.simpleString()}, k string, hit boolean, place int, expires double"
+            self.replay(batch, spark.read.schema(schema).parquet(f"{path}/caches/{n - 1}") if n else None).write.mode("overwrite").parquet(f"{path}/caches/{n}")
+            done = spark.read.schema(schema).parquet(f"{path}/caches/{n}")
+            done.where(F.col("hit").isNotNull()).select(batch.columns[0], "k", "hit").write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/caches/{n - 2}")  # batch n may be taken again, n - 1 no more
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+        self.rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+
+
+def cached_lookups(stream: DataFrame, tenant: str, key: str, ts: str, capacity: int, ttl_seconds: float) -> CachedLookups:
     """Hit or miss of each lookup in a per-tenant cache with least-recently-used eviction and time to live.
 
-    State per tenant is at most `capacity` keys. Rows of one batch are taken in time order. Times to live of 0 or less never end.
+    State per tenant is at most `capacity` keys, kept in a table. Rows of one batch are taken in time order, over all of a tenant's
+    rows; a batch is what has arrived by then, so that only rows that come later than a batch are taken after it. Times to live of 0
+    or less never end.
     """
-    kind = stream.schema[tenant].dataType.simpleString()
-
-    def step(who: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cache: OrderedDict[str, float] = OrderedDict(zip(*state.get)) if state.exists else OrderedDict()
-        for frame in frames:
-            hits = []
-            frame = frame.sort_values(["t", "k"], kind="stable")
-            for k, t in zip(frame["k"], frame["t"]):
-                expires = cache.pop(k, None)
-                hit = expires is not None and (ttl_seconds <= 0 or t < expires)
-                cache[k] = expires if hit else t + ttl_seconds
-                if len(cache) > capacity:
-                    cache.popitem(last=False)
-                hits.append(hit)
-            yield pd.DataFrame({tenant: who[0], "k": frame["k"].values, "hit": hits})
-        state.update((list(cache), list(cache.values())))
-
-    rows = stream.select(tenant, F.col(key).cast("string").alias("k"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
-    return rows.groupBy(tenant).applyInPandasWithState(step, f"{tenant} {kind}, k string, hit boolean", "ks array<string>, ts array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_to_end(stream: DataFrame, path: str, mode: str) -> None:
+    return CachedLookups(stream.select(tenant, F.col(key).cast("string").alias("k"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t")), capacity, ttl_seconds)
+
+
+def run_to_end(stream: DataFrame | CachedLookups, path: str, mode: str) -> None:
     """Process everything that is there now, each micro-batch written below `path`; complete results replace earlier ones."""
+    if isinstance(stream, CachedLookups):
+        return stream.run_to_end(path)
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")

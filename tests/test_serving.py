@@ -79,3 +79,21 @@ def test_stateful_stream(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, 1, 6), (2, 0, 1)]
     metrics.run_to_end(metrics.windowed(stream, "ts", ["k"], "u", "1 minute", "1 minute"), str(tmp_path / "w"), "complete")
     assert spark.read.parquet(str(tmp_path / "w/rows")).agg(F.sum("n")).first()[0] == 7
+
+
+def test_cache_replay_in_time_order(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(1, "a", at(0)), (1, "b", at(1)), (1, "a", at(2)), (1, "c", at(3)), (1, "b", at(4)), (1, "a", at(30)), (1, "a", at(31)), (2, "a", at(0)), (None, "x", at(0)), (None, "x", at(1)), (1, None, at(32)), (1, None, at(33))]
+    schema = "u bigint, k string, ts timestamp"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        for turn, part in enumerate((rows[::-1], [(1, "a", at(40)), (2, "a", at(60)), (2, "a", at(51))], [(2, "a", at(61)), (None, "x", at(9))])):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            metrics.run_to_end(metrics.cached_lookups(stream, "u", "k", "ts", 2, 50.0), str(tmp_path / "out"), "append")
+            got = {r.u: (r.h, r.n) for r in spark.read.parquet(str(tmp_path / "out/rows")).groupBy("u").agg(F.count_if("hit").alias("h"), F.count("*").alias("n")).collect()}
+            assert got == [{1: (3, 9), 2: (0, 1), None: (1, 2)}, {1: (4, 10), 2: (1, 3), None: (1, 2)}, {1: (4, 10), 2: (2, 4), None: (2, 3)}][turn]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
