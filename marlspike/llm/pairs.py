@@ -295,6 +295,15 @@ def hash_order(key) -> str:
     return hashlib.md5(str(key).encode()).hexdigest()
 
 
+def fit_sample(requests: DataFrame, responses: DataFrame, id_col: str, message_col: str, response_col: str) -> list[tuple[str | None, str | None]]:
+    """Messages and responses of FIT_PAIRS distinct request ids by hash, as they are tagged: one pair an id, less those without response."""
+    ids = F.broadcast(requests.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("pair_key")).distinct().orderBy(F.xxhash64("pair_key"), "pair_key").limit(FIT_PAIRS))
+    asked = requests.select(F.col(id_col).alias("pair_key"), F.col(message_col).alias("q")).join(ids, "pair_key").groupBy("pair_key").agg(F.min("q").alias("q"))
+    told = responses.select(F.col(id_col).alias("pair_key"), F.col(response_col).alias("a")).join(ids, "pair_key").groupBy("pair_key").agg(F.min("a").alias("a"))
+    sample = asked.join(told, "pair_key").select("pair_key", "q", "a").collect()
+    return [(r[1], r[2]) for r in sorted(sample, key=lambda r: hash_order(r[0]))]
+
+
 def tag_pairs(requests: DataFrame, responses: DataFrame, id_col: str = "request_id", message_col: str = "message", response_col: str = "response") -> DataFrame:
     """(id, defect) for each id present in both tables; defect is null for sound pairs.
 
@@ -304,11 +313,7 @@ def tag_pairs(requests: DataFrame, responses: DataFrame, id_col: str = "request_
     """
     left = requests.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("pair_key")).agg(F.min(message_col).alias("q"))
     right = responses.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("pair_key")).agg(F.min(response_col).alias("a"))
-    # The sample: FIT_PAIRS requests by hash of the id (bounded, hence broadcast), with their responses.
-    asked = requests.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("pair_key"), F.col(message_col).alias("q")).orderBy(F.xxhash64("pair_key"), "pair_key", "q").limit(FIT_PAIRS)
-    told = responses.select(F.col(id_col).alias("pair_key"), F.col(response_col).alias("a")).join(F.broadcast(asked), "pair_key")
-    sample = sorted({(r[0], r[1], r[2]) for r in told.select("pair_key", "q", "a").collect()}, key=lambda r: (hash_order(r[0]), r[1] or "", r[2] or ""))
-    sample = [(q, a) for _, q, a in sample]
+    sample = fit_sample(requests, responses, id_col, message_col, response_col)
     tagger = requests.sparkSession.sparkContext.broadcast(PairTagger(sample))
     kind = requests.schema[id_col].dataType.simpleString()
 

@@ -62,3 +62,11 @@ def test_frame(spark):
     assert len(got) == 121 and got[900] == got[119] == "empty" and None not in got and 901 not in got
     assert all(got[i] is None for i in range(119))
     assert pr.tag_pairs(req.limit(0), res).count() == 0
+
+
+def test_sample_of_distinct_ids(spark, monkeypatch):
+    monkeypatch.setattr(pr, "FIT_PAIRS", 20)
+    many = [(i, f"q{i}", f"a{i}") for i in range(40)] + [(i, f"q{i} again", f"a{i} again {n}") for i in (3, 17, 25) for n in range(200)] + [(None, "q", "a")]
+    df = spark.createDataFrame(many, "request_id bigint, q string, a string")
+    got = pr.fit_sample(df, df.where("request_id <> 4"), "request_id", "q", "a")
+    assert 19 <= len(got) <= 20 and len(set(got)) == len(got) and all(q[1:] == a[1:] and q[1:].isdigit() for q, a in got)
