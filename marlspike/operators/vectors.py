@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,7 @@ class ClusteredIndex:
     """Vectors clustered round k-means centroids; a search reads the clusters nearest to the query only."""
 
     def __init__(self, corpus: DataFrame, clusters: int = 32, rounds: int = 12, spill: int = 2):
-        """Centroids are fitted on at most FIT_ROWS rows (smallest id hashes); every row of `corpus` (doc_id, vector) goes to its `spill` nearest."""
+        """Centroids are fitted on at most FIT_ROWS rows (smallest id hashes); every row of `corpus` (doc_id, vector) belongs to its `spill` nearest."""
         sample = corpus.where(F.col("vector").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("vector").collect()
         x = np.array([r[0] for r in sample], np.float64).reshape(len(sample), -1)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -131,27 +132,50 @@ class ClusteredIndex:
                 if (owner == j).any():
                     c = x[owner == j].mean(0)
                     self.centroids[j] = c / max(np.linalg.norm(c), 1e-12)
-        self.assigned = self._assign(corpus.where(F.col("vector").isNotNull()).select("doc_id", "vector"), spill)
-
-    def _assign(self, df: DataFrame, probes: int) -> DataFrame:
-        """One row per vector and probed cluster."""
-        centroids = df.sparkSession.sparkContext.broadcast(self.centroids)
-        key = df.columns[0]
+        self.members, self.spill = corpus.where(F.col("vector").isNotNull()).select("doc_id", "vector"), spill
+
+    def search(self, queries: DataFrame, k: int, probes: int = 14, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+        """Approximate cosine top-k of `queries` (query_id, vector).
+
+        The query set is taken in blocks that fit `limit`. Each task multiplies its members of a cluster with the queries that probe that
+        cluster and hands on its own k best per query: the shuffle carries k rows per query and task, never the pairs.
+        """
+        parts = [self._best(ids, matrix, queries.schema["query_id"].dataType.simpleString(), k, probes) for ids, matrix in _blocks(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"), limit)]
+        if not parts:
+            return self.members.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {self.members.schema['doc_id'].dataType.simpleString()}, rank int, score double")
+        return top_k(reduce(DataFrame.unionByName, parts), k).select("query_id", "doc_id", "rank", "score")
+
+    def _best(self, ids: list, matrix: np.ndarray, qkind: str, k: int, probes: int) -> DataFrame:
+        """(query_id, doc_id, score): the k best of each task for each query of a block; a pair is scored once however many clusters it shares."""
+        kind, spill = self.members.schema["doc_id"].dataType.simpleString(), self.spill
+        probed = np.zeros((len(ids), len(self.centroids)), bool)
+        np.put_along_axis(probed, np.argsort(-(matrix @ self.centroids.T), axis=1, kind="stable")[:, :probes], True, 1)
+        block = self.members.sparkSession.sparkContext.broadcast((ids, matrix, probed, self.centroids))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = centroids.value
+            ids, q, probed, centroids = block.value
+            qn = np.linalg.norm(q, axis=1)
+            best_s, best_d = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), object)
             for batch in batches:
-                near = np.argsort(-(_matrix(batch.column(1)) @ c.T), axis=1, kind="stable")[:, :probes] if batch.num_rows else np.zeros((0, probes), int)
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(near.ravel().astype(np.int32))], [key, "vector", "cluster"])
-
-        return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, vector array<{df.schema['vector'].dataType.elementType.simpleString()}>, cluster int")
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    x = _matrix(part.column(1))
+                    xn = np.linalg.norm(x, axis=1)
+                    near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :spill]
+                    s = np.full((len(ids), len(x)), -np.inf)
+                    for j in range(len(centroids)):
+                        asks, held = np.flatnonzero(probed[:, j]), np.flatnonzero((near == j).any(1))
+                        scale = qn[asks, None] * xn[None, held]
+                        s[np.ix_(asks, held)] = np.where(scale == 0, 0.0, q[asks] @ x[held].T / np.where(scale == 0, 1, scale))
+                    best_s = np.concatenate([best_s, np.round(s, 6)], 1)
+                    best_d = np.concatenate([best_d, np.broadcast_to(np.array(part.column(0).to_pylist(), object), s.shape)], 1)
+                    keep = np.array([np.lexsort((row_d, -row_s))[:k] for row_s, row_d in zip(best_s, best_d)])
+                    best_s, best_d = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_d, keep, 1)
+            rows = [(i, d, s) for i, ds, ss in zip(ids, best_d, best_s) for d, s in zip(ds, ss) if s > -np.inf]
+            yield pa.RecordBatch.from_pydict({"query_id": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "score": pa.array([float(r[2]) for r in rows], pa.float64())},
+                                             schema=pa.schema([("query_id", _arrow(qkind)), ("doc_id", _arrow(kind)), ("score", pa.float64())]))
 
-    def search(self, queries: DataFrame, k: int, probes: int = 14) -> DataFrame:
-        """Approximate cosine top-k of `queries` (query_id, vector): an equi-join on the cluster, salted by AQE where one is hot."""
-        q = self._assign(queries.select("query_id", F.col("vector")), probes).withColumnRenamed("vector", "qv")
-        pairs = self.assigned.join(q, "cluster").select("query_id", "doc_id", F.round(cosine(F.col("qv"), F.col("vector")), 6).alias("score")).distinct()
-        return top_k(pairs, k).select("query_id", "doc_id", "rank", "score")
+        return self.members.mapInArrow(run, f"query_id {qkind}, doc_id {kind}, score double")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

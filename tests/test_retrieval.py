@@ -71,6 +71,17 @@ def test_clustered_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_clustered_search_hands_on_k_rows(spark, monkeypatch):
+    v = vectors._vectors(spark, "/root/testdata/sf0.01").repartition(3)
+    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    index, handed = vectors.ClusteredIndex(v), []
+    near = {(r.query_id, r.doc_id, r.score) for r in index.search(q, 10).collect()}
+    monkeypatch.setattr(vectors, "top_k", lambda df, k, real=vectors.top_k: (handed.append(df.count()), real(df, k))[1])
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
+    got = [(r.query_id, r.doc_id, r.score) for r in index.search(q, 10).collect()]
+    assert set(got) == near and len(got) == len(near) and 0 < handed[0] <= 10 * 3 * q.count()
+
+
 def test_fusion(spark):
     arm = lambda rows: spark.createDataFrame(rows, "query_id string, doc_id string, rank int, score double")
     d, s = arm([("q", "a", 1, 0.9), ("q", "b", 2, 0.5)]), arm([("q", "b", 1, 7.0), ("q", "c", 2, 7.0)])
