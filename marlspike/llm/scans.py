@@ -3,8 +3,8 @@
 Words of the whole corpus are counted once and grouped by a skeleton in which glyphs that scanners confuse fall together
 (`rn`/`m`, `cl`/`d`, `ii`/`u`, `ri`/`n`, `e`/`c`, `t`/`f`, `i`/`l`/`1`, `o`/`0` and so on). In a group, a form much rarer than
 its most frequent form is a candidate misreading, accepted where the frequent form is supported by the neighbouring words.
-Word ends broken by a hyphen are judged by the counts of the joined and of the hyphenated form. Headers are found on lines
-with masked digits, page numbers by their forms and the breadcrumb; `reflow` joins the lines with SQL windows.
+Word ends broken by a hyphen are judged by the counts of the joined and of the hyphenated form. Headers are found by
+a list of phrases, page numbers by their forms and the breadcrumb; `reflow` joins the lines with SQL windows.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def word_of(token: str) -> str | None:
 def header_line(line: str) -> bool:
     """A line that names a report, a continued section or the contents table, and nothing else.
 
-    The test is on the line with digits masked: a report phrase, and no word that would make it part of a sentence.
+    A phrase of the list, and no word that would make it part of a sentence; figures count as words with a capital.
     """
     s = _SPACES.sub(" ", line).strip()
     if not 5 <= len(s) <= 110 or not _REPORT.search(s):
