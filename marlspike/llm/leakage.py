@@ -1,10 +1,13 @@
 """Evaluation passages inside training documents: q-gram lemma filtering and banded alignment.
 
 A document leaks an item if it holds WINDOW consecutive words of one of the item's passages with at most EDITS words
-replaced, dropped or added. Of such a window some run of words stays intact, so (1) document positions outside runs of
-shared character q-grams of that length can't take part; (2) the shared q-grams of a true region lie on diagonals that
-differ by at most the edited words' lengths, so they are counted in overlapping diagonal bands, and a band with fewer than
-the lemma's bound is dropped; (3) the regions left are verified by a word alignment in a band round the diagonal.
+replaced, dropped or added. Document words that no passage of the block has can only be edits: each becomes one MARK, so
+that (1) stretches between more than EDITS marks in a row with fewer than WINDOW - EDITS other words can't take part; of a
+true window some run of INTACT words stays as it is, so (2) neither can positions outside runs of shared character q-grams of
+that length; (3) the shared q-grams of a true region lie on diagonals that differ by at most EDITS words, none longer than the
+passages' longest, so they are counted in overlapping diagonal bands of that width, and a band with fewer than the lemma's
+bound is dropped; (4) the regions left are verified by a word alignment in a band round the diagonal. No step loses a true
+region, however long the words that the document puts in.
 
 The passages are the stated query set: they are taken in blocks of at most BLOCK_CHARS characters, each broadcast and
 matched with all documents; within a block the documents stream through one narrow stage without a shuffle.
@@ -24,8 +27,13 @@ from pyspark.sql import functions as F
 from ..session import spread, table
 
 WINDOW, EDITS, Q = 15, 2, 8
+#: Words in a row that EDITS edits leave intact in a window; with the blanks they have more than Q characters.
+INTACT = -(-(WINDOW - EDITS) // (EDITS + 1))
 #: Characters of passages in one broadcast block.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
+#: Stands for each document word that the block's passages don't have.
+MARK = "\x01"
+_GAP = re.compile(rf"(?:(?:^|(?<= )){MARK}(?: |$)){{{EDITS + 1},}}")
 #: Characters of documents matched at once, and pairs of document and passage counted in one array (memory bounds only).
 SLICE_CHARS, CELLS = 400_000, 30_000_000
 _DROP = re.compile(r"[^\w\s]|_")
@@ -70,32 +78,37 @@ class PassageIndex:
         inside = pos <= lengths[owner] - Q
         h, owner, pos = h[: len(owner)][inside], owner[inside], pos[inside]
         order = np.argsort(h, kind="stable")
-        self.owner, self.pos = owner[order].astype(np.int64), pos[order].astype(np.int64)
+        self.owner, self.pos = owner[order].astype(np.int32), pos[order].astype(np.int32)
         self.grams, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[self.grams >> np.uint64(64 - _BITS)] = True
-        intact = -(-(WINDOW - EDITS) // (EDITS + 1))
-        runs, bounds, longest = [], [], 1
+        runs, bounds = [], []
         for words in self.words:
             n = np.array([len(w) for w in words])
             c = np.concatenate([[0], np.cumsum(n + 1)])
-            runs.append(int((c[intact:] - c[:-intact] - 1).min()))
+            runs.append(int((c[INTACT:] - c[:-INTACT] - 1).min()))
             best = []
             for a in range(len(words) - WINDOW + 1):
                 w = n[a : a + WINDOW]
                 top = np.sort(w)[-EDITS:].sum()
                 best.append(int(w.sum() + WINDOW - 1 - Q + 1 - top - EDITS * (Q + 1)))
             bounds.append(min(best))
-            longest = max(longest, int(n.max()))
-        #: Shared q-grams in a row that an intact run gives at least (1 where it is shorter than Q: nothing is pruned).
-        self.run = max(1, min(runs) - Q + 1)
-        self.bound = np.maximum(np.array(bounds), np.maximum(1, np.array(runs) - Q + 1))
-        #: Runs shorter than Q share no q-gram; their passages are aligned against every document.
-        self.always = [k for k, r in enumerate(runs) if r < Q]
-        self.band = 2 * EDITS * (longest + 2)
+        self.vocabulary = {w for words in self.words for w in words}
+        #: Shared q-grams in a row that an intact run gives at least: INTACT words have 2 INTACT - 1 > Q characters or more.
+        self.run = min(runs) - Q + 1
+        self.bound = np.maximum(np.array(bounds), np.array(runs) - Q + 1)
+        self.band = 2 * EDITS * (max(map(len, self.vocabulary)) + 2)
+        self.longest = int(lengths.max())
+
+    def masked(self, text: str) -> str:
+        """A normalised document with MARK for words outside the vocabulary, less the stretches that can't hold a window."""
+        known = self.vocabulary
+        marked = " ".join([w if w in known else MARK for w in text.split(" ")])
+        gap = f" {MARK}" * (EDITS + 1) + " "
+        return gap.join([s.strip(" ") for s in _GAP.split(marked) if s.count(" ") - s.count(MARK) >= WINDOW - EDITS - 1])
 
     def candidates(self, docs: list[str]) -> set[tuple[int, int, int, int]]:
-        """(document, passage, lowest and highest document position) of the bands that meet the bound."""
+        """(document, passage, lowest and highest document position) of the bands of masked `docs` that meet the bound."""
         if not any(docs):
             return set()
         h = _hashes(_codes("\x00".join(docs) + "\x00" * Q))
@@ -122,7 +135,7 @@ class PassageIndex:
         n = self.count[slot]
         where = np.repeat(at, n)
         index = np.repeat(self.first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        passage = self.owner[index]
+        passage = self.owner[index].astype(np.int64)
         doc = np.searchsorted(starts, where, side="right") - 1
         # A band can't hold more shared q-grams than the whole pair: pairs below the bound go before anything is sorted.
         cell = doc * len(self.items) + passage
@@ -133,35 +146,40 @@ class PassageIndex:
             enough = n_cell[inverse] >= self.bound[passage]
         where, index, passage, doc = where[enough], index[enough], passage[enough], doc[enough]
         local = where - starts[doc]
-        diagonal = local - self.pos[index] + 2 * self.band + (1 << 20)
+        diagonal = local - self.pos[index] + self.longest
+        stride = (int(lengths.max()) + self.longest) // self.band + 2
         found: set[tuple[int, int, int, int]] = set()
         for shift in (0, self.band // 2):
-            key = (doc * len(self.items) + passage) * (1 << 24) + (diagonal + shift) // self.band
+            key = (doc * len(self.items) + passage) * stride + (diagonal + shift) // self.band
             order = np.argsort(key, kind="stable")
             k, start, count = np.unique(key[order], return_index=True, return_counts=True)
-            owner = (k >> 24) % len(self.items)
+            owner = (k // stride) % len(self.items)
             for i in np.flatnonzero(count >= self.bound[owner]):
                 where_i = local[order[start[i] : start[i] + count[i]]]
-                found.add((int((k[i] >> 24) // len(self.items)), int(owner[i]), int(where_i.min()), int(where_i.max())))
+                found.add((int(k[i] // stride // len(self.items)), int(owner[i]), int(where_i.min()), int(where_i.max())))
         return found
 
 
-def verify(passage: list[str], doc_text: str, low: int, high: int, words: list[str]) -> bool:
+def word_runs(passage: list[str]) -> dict[tuple[str, ...], list[int]]:
+    """Places of each run of INTACT words."""
+    places: dict[tuple[str, ...], list[int]] = {}
+    for i in range(len(passage) - INTACT + 1):
+        places.setdefault(tuple(passage[i : i + INTACT]), []).append(i)
+    return places
+
+
+def verify(passage: list[str], places: dict[tuple[str, ...], list[int]], doc_text: str, low: int, high: int, words: list[str]) -> bool:
     """Banded alignment of one candidate region, widened by a window on either side."""
     a, b = doc_text.count(" ", 0, low), doc_text.count(" ", 0, high)
     margin = WINDOW + EDITS
-    return banded(passage, words[max(0, a - margin) : b + margin + 1])
+    return banded(passage, places, words[max(0, a - margin) : b + margin + 1])
 
 
-def banded(passage: list[str], region: list[str]) -> bool:
-    """Alignment restricted to the diagonals (with EDITS on either side) on which `intact` words in a row agree."""
-    intact = -(-(WINDOW - EDITS) // (EDITS + 1))
-    places: dict[tuple[str, ...], list[int]] = {}
-    for i in range(len(passage) - intact + 1):
-        places.setdefault(tuple(passage[i : i + intact]), []).append(i)
+def banded(passage: list[str], places: dict[tuple[str, ...], list[int]], region: list[str]) -> bool:
+    """Alignment restricted to the diagonals (with EDITS on either side) on which INTACT words in a row agree."""
     tried = set()
-    for j in range(len(region) - intact + 1):
-        for i in places.get(tuple(region[j : j + intact]), ()):
+    for j in range(len(region) - INTACT + 1):
+        for i in places.get(tuple(region[j : j + INTACT]), ()):
             d = j - i
             if (d, i // WINDOW) in tried:
                 continue
@@ -238,7 +256,7 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[
 
 
 def find_leaks(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, item) of every document that holds a passage of the item, each pair once.
+    """(id, item) of every document that holds a passage of the item, each pair once; no true pair is lost.
 
     `passages` has columns item STRING and passage STRING. Null and empty texts give no row; null ids are kept; repeated rows
     count once; long texts are searched whole; other columns are not read; empty tables on either side give an empty result.
@@ -251,15 +269,17 @@ def find_leaks(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", tex
         index = sc.broadcast(PassageIndex(block))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix = index.value
+            ix, runs = index.value, {}
             for batch in batches:
                 out: list[tuple[int, str]] = []
-                for first, texts in slices(batch.column(1).to_pylist()):
+                for first, normal in slices(batch.column(1).to_pylist()):
                     split: dict[int, list[str]] = {}
                     pairs = set()
-                    sought = [(d, p, lo, hi) for d, p, lo, hi in sorted(ix.candidates(texts))] + [(d, p, 0, len(t)) for p in ix.always for d, t in enumerate(texts)]
-                    for d, p, lo, hi in sought:
-                        if (d, ix.items[p]) not in pairs and verify(ix.words[p], texts[d], lo, hi, split.setdefault(d, texts[d].split(" "))):
+                    texts = [ix.masked(t) for t in normal]
+                    for d, p, lo, hi in sorted(ix.candidates(texts)):
+                        if p not in runs:
+                            runs[p] = word_runs(ix.words[p])
+                        if (d, ix.items[p]) not in pairs and verify(ix.words[p], runs[p], texts[d], lo, hi, split.setdefault(d, texts[d].split(" "))):
                             pairs.add((d, ix.items[p]))
                             out.append((first + d, ix.items[p]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for d, _ in out], pa.int32())), pa.array([i for _, i in out], pa.string())], ["leak_key", "item"])

@@ -34,6 +34,41 @@ def _edit(words, rng, n):
     return words
 
 
+def _found(index, doc):
+    masked = index.masked(doc)
+    return {p for d, p, lo, hi in index.candidates([masked]) if lk.verify(index.words[p], lk.word_runs(index.words[p]), masked, lo, hi, masked.split(" "))}
+
+
+def test_long_words_put_in_lose_nothing():
+    rng = random.Random(5)
+    vocab = [a + b for a in ("sar", "vel", "mo", "ta", "li", "quen") for b in ("dor", "ric", "vane", "mi", "x")]
+    passages = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(15, 40))) for _ in range(10)]
+    index = lk.PassageIndex([(str(i), p) for i, p in enumerate(passages)])
+    for length in (1, 7, 8, 20, 30, 60, 90, 130, 200):
+        for _ in range(4):
+            k = rng.randrange(len(passages))
+            words = passages[k].split()
+            at = rng.randrange(len(words) - lk.WINDOW + 1)
+            body = words[at : at + lk.WINDOW]
+            for _ in range(2):
+                if rng.random() < 0.7:
+                    body.insert(rng.randrange(1, len(body)), "z" * length)
+                else:
+                    body[rng.randrange(len(body))] = "u" * length
+            doc = " ".join([rng.choice(vocab) for _ in range(20)] + body + ["unknown"] * 4 + [rng.choice(vocab) for _ in range(20)])
+            want = {p for p in range(len(passages)) if brute(passages[p], doc)}
+            assert k in want and _found(index, doc) == want
+
+
+def test_passage_beyond_a_million_characters():
+    words = [f"w{i}" for i in range(180_000)]
+    index = lk.PassageIndex([("long", " ".join(words)), ("short", " ".join(words[:20]))])
+    assert len(" ".join(words)) > 1 << 20
+    assert _found(index, "other " * 9 + " ".join(words[170_000:170_016])) == {0}
+    assert _found(index, " ".join(words[3:18])) == {0, 1}
+    assert _found(index, " ".join(words[170_000:170_012])) == set()
+
+
 def test_against_brute_force():
     rng = random.Random(3)
     vocab = [a + b for a in ("sar", "vel", "mo", "ta", "li", "quen") for b in ("dor", "ric", "vane", "mi", "x")]
@@ -47,7 +82,7 @@ def test_against_brute_force():
         at = rng.randrange(len(words) - size + 1)
         body = _edit(words[at : at + size], rng, rng.randrange(0, 5))
         doc = lk.normalise(" ".join([rng.choice(vocab) for _ in range(20)] + body + [rng.choice(vocab) for _ in range(20)]))
-        found = {p for d, p, lo, hi in index.candidates([doc]) if lk.verify(index.words[p], doc, lo, hi, doc.split(" "))}
+        found = _found(index, doc)
         want = {p for p in range(len(passages)) if brute(passages[p], doc)}
         wrong += found != want
     assert wrong == 0
