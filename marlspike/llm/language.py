@@ -53,6 +53,7 @@ UPPER_WORDS = 6
 _SPLIT = re.compile(r"(?:(?<=[.!?…;:])[\"'”»)\]]*\s+(?=[\"'“„«(\[¿¡*#-]*\s*[A-ZÀ-ÖØ-ÞА-ЯŁŚŻŹĆŃÓ0-9])|[\r\n]+|(?<=[.!?…])\s*(?:[*#>|]|\d+[.)])\s+)")
 _QUOTED = re.compile(r"[“„«\"][^”“»\"\n]{1,120}[”“»\"]|‘[^’\n]{1,80}’")
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>|https?://\S+|&\w+;|\S+@\S+|\[[^\]\n]{0,80}\]\([^)\n]*\)")
+_MARKED = re.compile(r"[<&@\[]|://")  # without one of these _MARKUP finds nothing
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -63,8 +64,10 @@ def sentences(text: str) -> list[str]:
 
 def upper_case(words: list[str]) -> bool:
     """Whether most words of more than one letter are written in capitals, and enough to be a sentence, not a name."""
+    if len(words) < UPPER_WORDS:
+        return False
     longer = [w for w in words if len(w) > 1]
-    return len(words) >= UPPER_WORDS and 2 * sum(w.isupper() for w in longer) > len(longer)
+    return 2 * sum(map(str.isupper, longer)) > len(longer)
 
 
 def evidence(sentence: str, strict: bool = True) -> str:
@@ -73,7 +76,7 @@ def evidence(sentence: str, strict: bool = True) -> str:
     Markup and addresses are left out, and (strict) words with a capital behind the first, which are mostly names. In a
     sentence written in upper case capitals tell nothing: there all words stay.
     """
-    s = _MARKUP.sub(" ", sentence) if strict else sentence
+    s = _MARKUP.sub(" ", sentence) if strict and _MARKED.search(sentence) else sentence
     words = _WORD.findall(s)
     words = [w for w, before in zip(words, ["", *words]) if w != before]
     if strict and not upper_case(words):
@@ -90,14 +93,14 @@ def document_evidence(text: str) -> list[str]:
     return found if any(found) else [evidence(text, strict=False)]  # all in quotes: the whole text speaks
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash buckets of all n-grams of `texts`, the text each belongs to, and the start of each text's run in sorted order."""
+def _grams_by_order(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order: hash buckets of the n-grams of `texts`, and the text each belongs to, in order."""
     joined = "\x00".join(texts) + "\x00\x00\x00\x00"
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
     owner = np.cumsum(codes == 0)
     n = len(codes) - 3
     zero = codes == 0
-    out, own = [], []
+    out = []
     h = codes[:n].astype(np.uint32)
     clean = ~zero[:n]
     for k in range(1, 4):
@@ -105,9 +108,14 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         clean = clean & ~zero[k : n + k]
         if k + 1 in ORDERS:
             mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77 + 2 * k)
-            out.append((mixed >> np.uint32(16))[clean])
-            own.append(owner[:n][clean])
-    return np.concatenate(out), np.concatenate(own), owner
+            out.append(((mixed >> np.uint32(16))[clean], owner[:n][clean]))
+    return out
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of the n-grams of all orders, and the text each belongs to."""
+    orders = _grams_by_order(texts)
+    return np.concatenate([b for b, _ in orders]), np.concatenate([o for _, o in orders])
 
 
 def likelihoods(texts: list[str], model: np.ndarray) -> np.ndarray:
@@ -116,9 +124,10 @@ def likelihoods(texts: list[str], model: np.ndarray) -> np.ndarray:
     for at in range(0, len(texts), 4000):
         part = texts[at : at + 4000]
         if any(part):
-            buckets, own, _ = _grams(part)
-            for j in range(len(LANGUAGES)):
-                result[at : at + len(part), j] = np.bincount(own, weights=model[buckets, j], minlength=len(part))[: len(part)]
+            for buckets, own in _grams_by_order(part):
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
+                if len(first):
+                    result[at + own[first]] += np.add.reduceat(model[buckets], first, axis=0, dtype=np.float64)
     return result * TEMPER
 
 
@@ -135,7 +144,7 @@ def fit(texts: list[str], rounds: int = 4) -> np.ndarray:
         if best[0] >= 2 and best[0] >= best[1] + 2:
             post[i, int(hits.argmax())] = 1.0
     everything = seeds + pieces
-    buckets, own, _ = _grams(everything)
+    buckets, own = _grams(everything)
     model = np.zeros((BUCKETS, len(LANGUAGES)), np.float32)
     for r in range(rounds):
         weight = np.vstack([np.eye(len(LANGUAGES)) * SEED_WEIGHT, post])
@@ -169,7 +178,8 @@ def infer(ll: np.ndarray) -> tuple[list[tuple[int, int, int, float]], np.ndarray
     """Segments (first sentence, end, language, confidence) and proportions of one document from its sentence likelihoods."""
     chosen = [int(ll.sum(0).argmax())]
     pi, value = mixture(ll, chosen)
-    wins = [j for j in {int(r.argmax()) for r in ll if r.max() - r.min() > 1.0} if j not in chosen]
+    best = ll.argmax(1)
+    wins = [int(j) for j in np.unique(best[ll.max(1) - ll.min(1) > 1.0]) if j not in chosen] if (best != chosen[0]).any() else []
     while wins:
         trial = [(mixture(ll, [*chosen, j]), j) for j in wins]
         (new_pi, new_value), j = max(trial, key=lambda t: t[0][1])
@@ -179,13 +189,12 @@ def infer(ll: np.ndarray) -> tuple[list[tuple[int, int, int, float]], np.ndarray
         wins.remove(j)
     proportions = np.zeros(len(LANGUAGES))
     proportions[chosen] = pi
+    if len(chosen) == 1:
+        alone = np.exp(ll - ll.max(1, keepdims=True))
+        return [(0, len(ll), chosen[0], float((alone[:, chosen[0]] / alone.sum(1)).mean()))], proportions
     part = ll[:, chosen]
     post = np.exp(part - part.max(1, keepdims=True)) * pi
     post /= post.sum(1, keepdims=True)
-    if len(chosen) == 1:
-        alone = ll - ll.max(1, keepdims=True)
-        mean = np.exp(alone)[:, chosen[0]] / np.exp(alone).sum(1)
-        return [(0, len(ll), chosen[0], float(mean.mean()))], proportions
     score, back = part[0].copy(), []
     for row in part[1:]:
         stay = score
@@ -264,6 +273,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, seg_lang, confidence): language of the first segment of every document with words."""
-    s = F.col("segments")[0]
-    return detect_segments(table(spark, sf_dir, "documents")).select("doc_id", s["seg_lang"].alias("seg_lang"), F.round(s["confidence"], 4).alias("confidence"))
+    """(doc_id, seg_no, seg_lang, confidence, n_sentences): every segment of every document with words."""
+    each = detect_segments(table(spark, sf_dir, "documents")).select("doc_id", F.explode("segments").alias("s"))
+    return each.select("doc_id", "s.seg_no", "s.seg_lang", F.round("s.confidence", 4).alias("confidence"), "s.n_sentences")
