@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from marlspike.llm import pairs as pr
@@ -11,11 +12,17 @@ A = {"en": "The increase in net sales was driven by higher volumes and by a stro
      "fr": "La provision pour garanties de la branche a été portée à 770 millions d'euros par la direction.", "es": "La dirección prevé para el ejercicio una cifra de entre 2 millones de dólares y 3 millones de euros para la división."}
 
 
+DATA = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def tagger():
-    sample = [(Q[g].replace("2018", str(2000 + i)), f"{A[g]} {A[g].replace('770', str(i))}") for i, g in enumerate("en de fr es".split() * 60)]
-    sample += [(Q["en"], f"Our lenders declined to renew the facility on {i}, but the total is stated in the notes. Management was content to comment.") for i in range(20)]
-    return pr.PairTagger(sample)
+    texts = [dict(zip(*(pq.read_table(f"{DATA}/{t}.parquet", columns=["request_id", c]).to_pydict()[k] for k in ("request_id", c)))) for t, c in (("chat_requests", "message"), ("chat_responses", "response"))]
+    return pr.PairTagger([(texts[0][i], texts[1][i]) for i in sorted(texts[0].keys() & texts[1].keys(), key=pr.hash_order)])
+
+
+def defect(tagger, message, response):
+    return tagger.defects([(message, response)], pr.Features())[0][0]
 
 
 CASES = [
@@ -37,20 +44,40 @@ CASES = [
 @pytest.mark.parametrize("message,response,want", CASES)
 def test_defects(tagger, message, response, want):
     if message is None:
-        assert tagger.defect(message, response)[0] in (None, "other_language")
+        assert defect(tagger, message, response) in (None, "other_language")
     else:
-        assert tagger.defect(message, response)[0] == want
+        assert defect(tagger, message, response) == want
 
 
 def test_viterbi_and_likelihood_against_brute_force():
     rng = np.random.default_rng(0)
-    x, w, tr = rng.normal(size=(4, len(pr.FEATURES))), rng.normal(size=(len(pr.FEATURES), 5)), rng.normal(size=(5, 5))
-    value = lambda p: sum((x @ w)[i, k] for i, k in enumerate(p)) + sum(tr[a, b] for a, b in zip(p, p[1:]))
-    assert tuple(pr.viterbi(x, w, tr)) == max(itertools.product(range(5), repeat=4), key=value)
+    seqs = [[(sorted(rng.choice(40, 3, replace=False).tolist()), rng.integers(0, 1 << 32, n).tolist()) for _ in range(size)] for size, n in ((4, 3), (1, 0), (3, 5))]
+    w, ww, tr = rng.normal(size=(pr._BUCKETS, 5)), rng.normal(size=pr._WORD_BUCKETS), rng.normal(size=(5, 5))
+    batch = pr.Batch(seqs)
+    emit, path = batch.emissions(w, ww), pr.viterbi(batch, w, ww, tr)
+    for k, seq in enumerate(seqs):
+        for i, (places, words) in enumerate(seq):
+            alone = pr.Batch([[(places, words)]])
+            assert np.allclose(emit[k, i], alone.emissions(w, ww)[0, 0]) and np.allclose(np.delete(emit[k, i], 1), np.delete(w[places].sum(0), 1))
+        value = lambda p: sum(emit[k, i, t] for i, t in enumerate(p)) + sum(tr[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        assert tuple(path[k, : len(seq)]) == max(itertools.product(range(5), repeat=len(seq)), key=value)
+
+
+def test_fit_raises_the_likelihood_of_its_tags():
+    seqs = [[([1, 600 + t], [t])] for t in (0, 2) for _ in range(20)]
+    w, ww, tr = pr.fit_field(seqs, [[t] for t in (0, 2) for _ in range(20)], ridge=0.1)
+    assert (pr.viterbi(pr.Batch(seqs), w, ww, tr)[:, 0] == np.repeat([0, 2], 20)).all()
+    assert not w[600:700, [0, 1, 3, 4]].any()  # overlap weighs for echo alone
+
+
+def test_held_out_refusals(tagger):
+    """Wordings that no part of the fit has."""
+    for m, r in ((Q["en"], "I regret that I cannot give you an answer to this request."), (Q["de"], "Ich kann diese Anfrage leider nicht beantworten, da die Richtlinien es nicht zulassen."), (Q["fr"], "Désolé, je ne peux pas vous aider avec cette demande.")):
+        assert defect(tagger, m, r) == "refusal"
 
 
 def test_long_response(tagger):
-    assert tagger.defect(Q["en"], " ".join([A["en"]] * 800))[0] is None
+    assert defect(tagger, Q["en"], " ".join([A["en"]] * 800)) is None
 
 
 def test_frame(spark):
