@@ -162,20 +162,26 @@ def _candidates(pages: DataFrame, frequent: DataFrame) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            ch = LineChunks(batch.column(3).to_pylist())
-            key = _keyed(ch, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
+            ch = LineChunks(batch.column(2).to_pylist())
+            key = _keyed(ch, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
             first, behind = ch.lines()
-            lines = [i for i in range(len(first)) if ch.chunk_no[first[i]] > 1]
-            size = [int(behind[i] - first[i]) for i in lines]
-            rows = pa.array(np.repeat([int(ch.chunk_page[first[i]]) for i in lines], size).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.repeat([int(ch.chunk_no[first[i]]) for i in lines], size).astype(np.int64)),
-                pa.array([t for i, n in zip(lines, size) for t in [ch.text(first[i], behind[i])] * n], pa.string()),
-                pa.array([int(k) for i in lines for k in key[first[i] : behind[i]]], pa.int64()), pa.array(np.repeat(size, size).astype(np.int64)),
-            ], ["page_id", "source", "line_no", "folded", "key", "size"])
+            size = behind - first
+            of_line = np.repeat(np.arange(len(first)), size)
+            wanted = np.flatnonzero(ch.chunk_no[first[of_line]] > 1) if len(first) else np.zeros(0, int)
+            at = first[of_line[wanted]] if len(wanted) else wanted
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ch.chunk_page[at].astype(np.int32))), pa.array(ch.chunk_no[at].astype(np.int64)), pa.array(key[wanted]), pa.array(size[of_line[wanted]].astype(np.int64))], ["page_id", "line_no", "key", "size"])
 
-    each = pages.select("page_id", "source", "source_key", "body").mapInArrow(explode, f"page_id {kind}, source string, line_no bigint, folded string, key bigint, size bigint")
-    return each.join(frequent, "key", "left_semi").groupBy("page_id", "source", "line_no", "folded", "size").count().where("count = size").select("page_id", "source", "line_no", "folded")
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            ch, wanted = LineChunks(batch.column(2).to_pylist()), [set(x) for x in batch.column(3).to_pylist()]
+            first, behind = ch.lines()
+            picked = [i for i in range(len(first)) if int(ch.chunk_no[first[i]]) in wanted[int(ch.chunk_page[first[i]])]]
+            rows = pa.array([int(ch.chunk_page[first[i]]) for i in picked], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([int(ch.chunk_no[first[i]]) for i in picked], pa.int64()), pa.array([ch.text(first[i], behind[i]) for i in picked], pa.string())], ["page_id", "source", "line_no", "folded"])
+
+    each = pages.select("page_id", "source_key", "body").mapInArrow(explode, f"page_id {kind}, line_no bigint, key bigint, size bigint")
+    places = each.join(frequent, "key", "left_semi").groupBy("page_id", "line_no", "size").count().where("count = size").groupBy("page_id").agg(F.collect_list("line_no").alias("places"))
+    return pages.join(places, "page_id").select("page_id", "source", "body", "places").mapInArrow(texts, f"page_id {kind}, source string, line_no bigint, folded string")
 
 
 def find_repeated_lines(df: DataFrame, id_col: str = "id", text_col: str = "content", source_col: str = "company") -> DataFrame:
@@ -189,7 +195,7 @@ def find_repeated_lines(df: DataFrame, id_col: str = "id", text_col: str = "cont
     pages = pages_once(src, "page_id", "source", "body").where(F.col("source").isNotNull()).select("page_id", "source", F.xxhash64("source").alias("source_key"), F.translate("body", "\x00", " ").alias("body"))
     frequent = materialise(repeated_chunks(pages))
     lines = materialise(_candidates(pages, frequent))
-    totals = src.where(F.col("source").isNotNull() & F.col("page_id").isNotNull()).select("source", "page_id").distinct().groupBy("source").agg(F.count("*").alias("pages"))
+    totals = pages.groupBy("source").agg(F.count("*").alias("pages"))
     often = lines.select("source", "folded", "page_id").distinct().groupBy("source", "folded").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     often = materialise(often.join(totals, "source").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("source", "folded"))
     return lines.join(small_or_shuffled(often, 300), ["source", "folded"], "left_semi").select(F.col("page_id").alias(id_col), "line_no")
@@ -198,9 +204,16 @@ def find_repeated_lines(df: DataFrame, id_col: str = "id", text_col: str = "cont
 def remove_lines(df: DataFrame, lines: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(id, content) of each distinct page without the lines named in `lines` (id, line_no)."""
     drop = lines.groupBy(id_col).agg(F.collect_set("line_no").alias("_drop"))
-    pages = pages_once(df, id_col, text_col).join(drop, id_col, "left")
-    kept = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct((i + 1).cast("bigint").alias("n"), x.alias("t"))), lambda s: ~F.array_contains(F.coalesce(F.col("_drop"), F.array().cast("array<bigint>")), s["n"]))
-    return pages.select(id_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["t"]), "\n")).alias(text_col))
+    pages = pages_once(df, id_col, text_col).join(drop, id_col, "left").select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), "_drop")
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            drops = [set(d or ()) for d in batch.column(2).to_pylist()]
+            kept = [t if t is None or not d else "\n".join([x for n, x in enumerate(t.split("\n"), 1) if n not in d]) for t, d in zip(batch.column(1).to_pylist(), drops)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["_id", "_text"])
+
+    return pages.mapInArrow(run, f"_id {kind}, _text string").withColumnsRenamed({"_id": id_col, "_text": text_col})
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
