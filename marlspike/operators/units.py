@@ -182,7 +182,8 @@ def named_currency(t: Column) -> Column:
 
 
 def scale_word(t: Column) -> Column:
-    """The first spelling of a scale in `unit_text`, in lower case; `thousand` for a T alone or before a currency."""
+    """The first spelling of a scale in `unit_text`, in lower case; `thousand` for a T alone or before a currency; the m of sq m is none."""
+    t = F.regexp_replace(t, r"(?i)(?<![\p{L}\p{N}])(sq|cu)\.? (?:k?m|ft)(?![\p{L}\p{N}])", " $1 ")
     word = F.lower(F.regexp_extract(t, f"{_EDGE_L}(?i:{_alternation(w for v in SCALE_WORDS.values() for w in v)}){_EDGE_R}", 0))
     return F.when(t.rlike(f"{_EDGE_L}T{_EDGE_R}|{_EDGE_L}t (?i:EUR|USD|CHF|GBP){_EDGE_R}"), F.lit("thousand")).otherwise(word)
 
@@ -221,12 +222,17 @@ def read_quantities(items: DataFrame) -> DataFrame:
     df = df.select("line_item_id", "value", "raw_value", "unit", "raw_name", F.when(F.col("raw_value").isNull(), F.col("value").cast("decimal(28,8)")).otherwise(F.col("number")).alias("number"),
                    blank(F.col("rest")).alias("p1"), blank(F.col("unit")).alias("p2"), blank(F.col("raw_name")).alias("p3"), blank(F.col("header")).alias("p4"), F.monotonically_increasing_id().alias("_row"))
     df = df.where(F.col("number").isNotNull() & (F.col("_row") >= 0))
-    each = df.select(F.explode(F.array(*(F.struct(F.lit(i == 3).alias("is_name"), F.col(f"p{i}").alias("phrase")) for i in (1, 2, 3, 4)))).alias("x")).select("x.*").distinct()
+    each = df.select(F.explode(F.array(*(F.struct(F.lit(i == 3).alias("is_name"), F.col(f"p{i}").alias("phrase")) for i in (1, 2, 3, 4)))).alias("x")).select("x.*").where(F.trim("phrase") != "").distinct()
     told = materialise(read_phrases(each))
-    told = small_or_shuffled(told, 200)
+    told = small_or_shuffled(told, 64)
     for i in (1, 2, 3, 4):
         side = told.where(F.col("is_name") == F.lit(i == 3)).select(F.col("phrase").alias(f"p{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("node", "currency", "power", "per_share", "counts_shares")))
-        df = df.join(side, f"p{i}")
+        # A blank phrase tells nothing: its rows match nothing, under as many keys as spread them where the join shuffles.
+        df = df.withColumn(f"p{i}", F.when(F.trim(f"p{i}") == "", F.concat(F.lit("\x00"), F.pmod("_row", F.lit(9973)).cast("string"))).otherwise(F.col(f"p{i}"))).join(side, f"p{i}", "left")
+        df = df.withColumns({f"{c}{i}": F.coalesce(f"{c}{i}", F.lit(False)) for c in ("per_share", "counts_shares")})
+    # A capital L by itself behind an amount in rupees is lakh, not litres.
+    lakh = F.col("p1").rlike(f"{_EDGE_L}L{_EDGE_R}") & (F.coalesce("currency1", "currency2") == "INR")
+    df = df.withColumns({"node1": F.when(~F.coalesce(lakh, F.lit(False)), F.col("node1")), "power1": F.when(F.coalesce(lakh, F.lit(False)), F.coalesce("power1", F.lit(5))).otherwise(F.col("power1"))})
     named = F.coalesce(*(F.col(f"{c}{i}") for i in (1, 2, 3) for c in ("node", "currency")), F.when(F.col("counts_shares3"), F.lit("shares")), F.col("currency4"))
     df = df.withColumns({"named": named, "eps": F.col("per_share1") | F.col("per_share2") | F.col("per_share3")})
     amount = F.col("named").rlike(r"^[A-Z]{3}(?:_cent)?$")

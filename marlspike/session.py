@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from functools import reduce
+from operator import add
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A derived side is broadcast only when its counted size stays under this many bytes.
 BROADCAST_LIMIT_BYTES = 16 << 20
@@ -19,10 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of `spark.checkpoint.dir`; a temporary one only where that is unset (tests)."""
+    """Use the shared folder of `spark.checkpoint.dir`; where it is unset, a temporary one in local mode, an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlspike-ckpt-"))
+        sc.setCheckpointDir(shared_dir(spark))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`. A driver's own folder would do in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="marlspike-ckpt-")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -32,11 +43,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def small_or_shuffled(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """`df` with a broadcast hint if its counted rows fit `limit`, otherwise `df` itself (a shuffle join).
+    """`df` with a broadcast hint if its measured size fits `limit`, otherwise `df` itself (a shuffle join).
 
-    `df` must be cheap to count: a checkpointed or written table.
+    Measured: rows times `row_bytes` (the fixed part of a row), and the bytes of its text columns. `df` must be cheap to read: a
+    checkpointed or written table.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    n, chars = df.agg(F.count("*"), F.coalesce(F.sum(reduce(add, texts, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n * row_bytes + chars <= limit else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

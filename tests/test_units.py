@@ -63,3 +63,10 @@ def test_half_away_from_zero(spark):
     rows = [(1, None, "0.0005", "kg", None, None, ""), (2, None, "-2.5", "kg", None, None, ""), (3, None, "2.5", "kg", None, None, "")]
     got = {r.line_item_id: Decimal(r.common_milli) for r in u.to_common_units(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: 0, 2: -3, 3: 3}
+
+
+def test_square_metres_have_no_scale_and_lakh_is_no_litre(spark):
+    rows = [(1, None, "1,500 sq m", None, "Land", None), (2, None, "7 million sq m", None, "Land", None), (3, None, "35,690.83L (a)", "inr", "Capex", None), (4, None, "20 L", None, "Water", None), (5, None, "3", "", " ", [""])]
+    df = spark.createDataFrame(rows, "line_item_id bigint, value double, raw_value string, unit string, raw_name string, headers array<string>")
+    got = {r.line_item_id: (r.common_unit, r.common_milli) for r in u.to_common_units(df).collect()}
+    assert got == {1: ("m2", 1_500_000), 2: ("m2", 7_000_000_000), 3: ("INR", 3_569_083_000_000), 4: ("m3", 20)}
