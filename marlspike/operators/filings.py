@@ -131,6 +131,33 @@ def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decompose(asks, table(spark, sf_dir, "filings"))
 
 
+def discover(filings: DataFrame, company: str | None = None, doc_type: str | None = None, sample: int | None = None) -> DataFrame:
+    """(doc_name, company, doc_type) of filings whose company and type contain the given texts, whatever their case, in order; `sample` keeps the first."""
+    rows = filings.where(F.col("doc_name").isNotNull()).groupBy("doc_name").agg(F.max("company").alias("company"), F.max("doc_type").alias("doc_type"))
+    for col, part in (("company", company), ("doc_type", doc_type)):
+        if part:
+            rows = rows.where(F.contains(F.lower(col), F.lit(part.lower())))
+    rows = rows.orderBy("doc_name")
+    return rows.limit(sample) if sample else rows
+
+
+def filing_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty filings of type 10-K of companies named Inc. (a sample in order)."""
+    return discover(table(spark, sf_dir, "filings"), "INC", "10", 20)
+
+
+def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question with its filing's period and sector, null where the filing is unknown."""
+    filing = table(spark, sf_dir, "filings").where(F.col("doc_name").isNotNull()).groupBy("doc_name").agg(F.max("doc_period").alias("doc_period"), F.max("gics_sector").alias("gics_sector"))
+    return table(spark, sf_dir, "qa").select("financebench_id", "doc_name", "question_type").join(filing, "doc_name", "left")
+
+
+def ordered_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest metrics ranked in the order of ticker, year and metric within each ticker."""
+    order = Window.partitionBy("ticker").orderBy(F.col("filing_year").asc_nulls_last(), "metric")
+    return latest_metrics(spark, sf_dir).select("ticker", "filing_year", "metric", F.row_number().over(order).alias("place")).orderBy("ticker", "place")
+
+
 _ONCE = "(SELECT DISTINCT ON (line_item_id) * FROM extracted_line_items)"
 _LATEST = f"(SELECT ticker, filing_year, metric, value FROM (SELECT ticker, filing_year, canonical_metric AS metric, value, row_number() OVER (PARTITION BY ticker, filing_year, canonical_metric ORDER BY extracted_at DESC, line_item_id DESC) AS r FROM {_ONCE} WHERE value IS NOT NULL AND canonical_metric IS NOT NULL AND ticker IS NOT NULL) WHERE r = 1)"
 _PIVOT = f"(SELECT ticker, filing_year, {', '.join(f'max(value) FILTER (metric = {chr(39)}{m}{chr(39)}) AS {m.lower()}' for m in KEY_METRICS)} FROM {_LATEST} GROUP BY ticker, filing_year)"
@@ -147,6 +174,9 @@ _SECTION = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(content, ''), '{_q(
 _METRICS_OF = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(query), '{_q(s)}')" for s in sp) + f" THEN '{m}' END" for m, _, sp in finance.METRICS) + "], lambda x: x IS NOT NULL)"
 SQL = {
     "graph_line_items": f"SELECT f.company, statement, canonical_metric, count(*) AS n_items, count(*) FILTER (len(footnote_texts) > 0) AS n_footnoted, coalesce(sum(len(footnote_texts)), 0)::BIGINT AS n_footnotes FROM {_ONCE} i JOIN (SELECT doc_name, max(company) AS company FROM filings WHERE doc_name IS NOT NULL GROUP BY doc_name) f USING (doc_name) GROUP BY ALL",
+    "filing_discovery": "SELECT * FROM (SELECT doc_name, max(company) AS company, max(doc_type) AS doc_type FROM filings WHERE doc_name IS NOT NULL GROUP BY doc_name) WHERE contains(lower(company), 'inc') AND contains(lower(doc_type), '10') ORDER BY doc_name LIMIT 20",
+    "benchmark_items": "SELECT financebench_id, qa.doc_name, question_type, doc_period, gics_sector FROM qa LEFT JOIN (SELECT doc_name, max(doc_period) AS doc_period, max(gics_sector) AS gics_sector FROM filings WHERE doc_name IS NOT NULL GROUP BY doc_name) f USING (doc_name)",
+    "ordered_metrics": f"SELECT ticker, filing_year, metric, row_number() OVER (PARTITION BY ticker ORDER BY filing_year NULLS LAST, metric) AS place FROM {_LATEST}",
     "metric_pivot": f"SELECT * FROM {_PIVOT}",
     "financial_ratios": f"SELECT ticker, filing_year, round(CASE WHEN revenue > 0 THEN rd_expense / revenue * 100 END, 4) AS rd_intensity, round(CASE WHEN revenue > 0 THEN gross_profit / revenue * 100 END, 4) AS gross_margin, round(CASE WHEN revenue > 0 THEN operating_income / revenue * 100 END, 4) AS operating_margin, round(operating_cash_flow - capex, 4) AS free_cash_flow FROM {_PIVOT}",
     "yoy_growth": f"SELECT ticker, metric, filing_year, round(CASE WHEN prior <> 0 THEN (value - prior) / abs(prior) * 100 END, 2) AS growth FROM (SELECT *, lag(value) OVER (PARTITION BY ticker, metric ORDER BY filing_year) AS prior FROM {_LATEST} WHERE filing_year IS NOT NULL) WHERE prior IS NOT NULL",
@@ -159,4 +189,4 @@ n AS (SELECT query_id, query, list_sort(list(c.company) FILTER (c.company IS NOT
 p AS (SELECT query_id, list_sort(list_distinct(regexp_extract_all(query, '(20[0-9][0-9]|19[0-9][0-9])\\b', 1))) AS years, {_METRICS_OF} AS metrics, coalesce(companies, []) AS companies FROM n)
 SELECT query_id, array_to_string(years, ',') AS years, array_to_string(metrics, ',') AS metrics, array_to_string(companies, ',') AS companies, CASE WHEN len(companies) > 1 THEN 'cross_company_comparison' WHEN len(years) > 1 THEN 'trend_analysis' WHEN len(metrics) > 1 THEN 'multi_metric' ELSE 'single_lookup' END AS query_type, greatest(len(companies), 1) * greatest(len(years), 1) AS n_sub_questions FROM p""",
 }
-QUERIES = {f.__name__: f for f in (graph_line_items, metric_pivot, financial_ratios, yoy_growth, metric_resolve, section_detect, filename_metadata, page_table_rows, pages_with_filing, query_plans)}
+QUERIES = {f.__name__: f for f in (graph_line_items, metric_pivot, financial_ratios, yoy_growth, metric_resolve, section_detect, filename_metadata, page_table_rows, pages_with_filing, query_plans, filing_discovery, benchmark_items, ordered_metrics)}

@@ -25,18 +25,29 @@ def summary(log: DataFrame, by: list[str], value: str, failed: Column) -> DataFr
                                 F.round(F.avg(value), 4).alias("avg_value"), F.min(value).alias("min_value"), F.max(value).alias("max_value"))
 
 
+#: Buckets between the least and the largest value of a group in the first pass of `nearest_rank`.
+RANK_BUCKETS = 4096
+
+
 def nearest_rank(log: DataFrame, by: str, value: str, percents: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """Percentiles by the rule sorted[min(int(p / 100 * n), n - 1)], 2 places: one row per group and percentile.
 
-    Values are counted first (map-side), and only distinct values are ranked, so a hot group carries no more rows than it has
-    different values. Null values are left out.
+    Two passes: a histogram of RANK_BUCKETS buckets a group, counted map-side, finds the bucket that holds each rank; only the values
+    of those buckets are then counted and ordered. So a task sees a group's buckets, or one bucket's values. Null and NaN values are left out.
     """
-    counts = log.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    rows = log.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
+    span = rows.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    at = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * (RANK_BUCKETS - 1))).otherwise(F.lit(0)).cast("int")
+    placed = rows.join(span, "g").withColumn("b", at)
+    w = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = placed.groupBy("g", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).withColumn("upto", F.sum("c").over(w))
     wanted = F.explode(F.array(*(F.struct(F.lit(p).alias("percentile"), F.least(F.floor(F.lit(p) / F.lit(100.0) * F.col("n")), F.col("n") - 1).alias("at")) for p in percents)))
-    hit = ranked.select(by, value, "c", "upto", wanted.alias("w")).where((F.col("upto") > F.col("w.at")) & (F.col("upto") - F.col("c") <= F.col("w.at")))
-    return hit.select(by, F.col("w.percentile").alias("percentile"), F.round(value, 2).alias("latency"))
+    hit = hist.select("g", "b", "c", "upto", wanted.alias("w")).where((F.col("upto") > F.col("w.at")) & (F.col("upto") - F.col("c") <= F.col("w.at")))
+    hit = hit.select("g", "b", F.col("w.percentile").alias("percentile"), (F.col("w.at") - F.col("upto") + F.col("c")).alias("at"))
+    inside = placed.join(hit.select("g", "b").distinct(), ["g", "b"], "left_semi").groupBy("g", "b", "v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.withColumn("upto", F.sum("c").over(w)).join(hit, ["g", "b"]).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at")))
+    return ranked.select(F.col("g").alias(by), "percentile", F.round("v", 2).alias("latency"))
 
 
 def last_value(log: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:

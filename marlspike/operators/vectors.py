@@ -178,6 +178,23 @@ class ClusteredIndex:
         return self.members.mapInArrow(run, f"query_id {qkind}, doc_id {kind}, score double")
 
 
+def adapter_score(distance: Column) -> Column:
+    """1 - d: a cosine where d is a cosine distance."""
+    return F.lit(1.0) - distance
+
+
+def text_similarity(a: Column, b: Column, embed) -> Column:
+    """Cosine of the embeddings of two texts; `embed` maps a text column to a vector column."""
+    return cosine(embed(a), embed(b))
+
+
+def adjacent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each vector and the next, from their cosine distance."""
+    v = _vectors(spark, sf_dir)
+    pairs = v.select(F.col("doc_id"), F.col("vector").alias("a")).join(v.select((F.col("doc_id") - 1).alias("doc_id"), F.col("vector").alias("b")), "doc_id")
+    return pairs.select("doc_id", F.round(adapter_score(F.lit(1.0) - cosine(F.col("a"), F.col("b"))), 6).alias("score"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
 
@@ -223,6 +240,7 @@ COSINE_SQL, L2_SQL, SIGN_SQL = _COS, _L2, _SIGN
 SQL = {
     "dense_topk_cosine": ranking_sql(_COS, 10),
     "dense_topk_l2": ranking_sql(_L2, 10, "ASC"),
+    "adjacent_similarity": f"SELECT q.vec_id AS doc_id, {_COS} AS score FROM embeddings q JOIN embeddings d ON d.vec_id = q.vec_id + 1",
     "semantic_cache_probe": f"SELECT query_id, doc_id, round(score, 4) AS score, score >= 0.8 AS hit FROM ({ranking_sql(_COS, 1, extra='AND q.vec_id <> d.vec_id')})",
 }
-QUERIES = {"dense_topk_cosine": dense_topk_cosine, "dense_topk_l2": dense_topk_l2, "dense_topk_clustered": dense_topk_clustered, "semantic_cache_probe": semantic_cache_probe}
+QUERIES = {"dense_topk_cosine": dense_topk_cosine, "dense_topk_l2": dense_topk_l2, "dense_topk_clustered": dense_topk_clustered, "semantic_cache_probe": semantic_cache_probe, "adjacent_similarity": adjacent_similarity}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from ..functions.text import preview, query_lines, tokens
 from ..operators import bm25, fusion, vectors
 from ..operators.chunking import hashed_vector
 from ..session import table
+from ..sources import loaders
 
 #: A model call: prompt column to reply column, null where it fails. The default always fails, so that fallbacks apply.
 Model = Callable[[Column], Column]
@@ -67,6 +69,55 @@ class Corpus:
         return bm25.scan_search(flagged, queries, k, where=F.col("_wanted"))
 
 
+class HybridIndex:
+    """A lexical index and a table of vectors over the same documents, kept below one folder and changed together."""
+
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] = hashed_vector):
+        self.spark, self.path, self.embed = spark, path, embed
+
+    def _read(self) -> tuple[bm25.Index, DataFrame]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        version = self.spark.read.text(f"{self.path}/current").first()[0] if fs.exists(at) else None
+        if version is None:
+            empty = self.spark.createDataFrame([], "doc_id string, text string")
+            return bm25.build(empty), empty.select("doc_id", "text", self.embed(F.col("text")).alias("vector"))
+        return bm25.Index.read(self.spark, f"{self.path}/{version}/lexical"), self.spark.read.parquet(f"{self.path}/{version}/dense")
+
+    def _write(self, index: bm25.Index, dense: DataFrame) -> None:
+        """Both tables in a new folder, which the last step makes the current one."""
+        version = uuid.uuid4().hex
+        index.write(f"{self.path}/{version}/lexical")
+        dense.write.parquet(f"{self.path}/{version}/dense")
+        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+
+    def add(self, docs: DataFrame) -> None:
+        """Index `docs` (doc_id STRING, text) in both arms; documents of the same id are replaced."""
+        index, dense = self._read()
+        fresh = docs.select("doc_id", "text", self.embed(F.col("text")).alias("vector"))
+        self._write(index.upsert(docs), dense.join(docs.select("doc_id"), "doc_id", "left_anti").unionByName(fresh))
+
+    def add_file(self, path: str) -> None:
+        """Index the documents of a file or folder."""
+        self.add(loaders.load(self.spark, path).select("doc_id", "text"))
+
+    def delete(self, ids: DataFrame) -> None:
+        """Drop the documents in `ids` (doc_id) from both arms."""
+        index, dense = self._read()
+        self._write(index.without(ids), dense.join(ids, "doc_id", "left_anti"))
+
+    def reset(self) -> None:
+        """Empty both arms."""
+        index, dense = self._read()
+        self._write(bm25.build(dense.limit(0).select("doc_id", "text")), dense.limit(0))
+
+    def search(self, queries: DataFrame, k: int = 5, alpha: float | None = 0.5) -> DataFrame:
+        """(query_id, doc_id, rank, score, dense_rank, sparse_rank): both arms fused by reciprocal rank."""
+        index, dense = self._read()
+        near = vectors.nearest(dense.select("doc_id", "vector"), queries.select("query_id", self.embed(F.col("query")).alias("vector")), max(4 * k, 10), digits=4)
+        return fusion.rrf(near, bm25.search(index, queries, max(4 * k, 10)), k, alpha)
+
+
 def retrieve(corpus: Corpus, queries: DataFrame, k: int = 5, mode: str = "hybrid", fuse: str = "rrf", alpha: float = 0.5, where: DataFrame | None = None, transform: str = "none", model: Model = NO_MODEL,
              rerank: Callable[[Column, Column], Column] | None = None, candidates: int = 30, floor: float = 0.0) -> DataFrame:
     """(query_id, doc_id, rank, score): one batched search of all queries and variants, fused, filtered and reranked.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Folders and extensions of a directory scan.
 IGNORED_DIRS = (".git", "__pycache__", "node_modules", ".venv", "venv", "env", ".idea", ".vscode", "dist", "build", ".mypy_cache", ".pytest_cache", ".ruff_cache", "site-packages")
@@ -16,16 +19,18 @@ MANIFEST = "path string, sha string, indexed_at timestamp"
 def files(spark: SparkSession, path: str, extensions: tuple[str, ...] = TEXT_EXTENSIONS, recursive: bool = True) -> DataFrame:
     """(path, name, file_type, size, sha, content) of the files below `path`, hidden and ignored folders left out.
 
-    A missing path is an error. The filter on names runs before any content is read into a task.
+    A missing path is an error. Files are listed by the reader's own glob filter on the extension, so that others are never opened; the
+    hidden and ignored folders among those left go before their content is hashed.
     """
     if "://" not in path and not os.path.exists(path):
         raise FileNotFoundError(path)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(either(e) for e in extensions) + "}").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     inside = F.regexp_replace("path", "^.*?" + "/".join(path.rstrip("/").split("/")[-1:]).replace(".", "\\.") + "/", "")
     hidden = F.exists(F.split(inside, "/"), lambda p: p.startswith(".") | p.isin(*IGNORED_DIRS))
     kind = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    return df.select("path", name.alias("name"), kind.alias("file_type"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha"), "content").where(kind.isin(*extensions) & ~hidden)
+    return df.where(kind.isin(*extensions) & ~hidden).select("path", name.alias("name"), kind.alias("file_type"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha"), "content")
 
 
 def decoded(content):
@@ -41,6 +46,36 @@ def text_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] =
     return df.select(F.col("path").alias("doc_id"), decoded(F.col("content")).alias("text"), F.col("name").alias("source"), "file_type", "size", "sha")
 
 
+def load(spark: SparkSession, target: str) -> DataFrame:
+    """Documents of a target, told by its form: a folder, or a file by its ending; web addresses are refused, missing paths an error."""
+    if target.startswith(("http://", "https://")):
+        raise ValueError(f"{target}: no network reader")
+    if "://" not in target and not os.path.exists(target):
+        raise FileNotFoundError(target)
+    kind = target.rsplit(".", 1)[-1].lower() if not os.path.isdir(target) else ""
+    readers = {"csv": csv_documents, "json": json_documents}
+    return readers.get(kind, text_documents)(spark, target)
+
+
+def from_texts(spark: SparkSession, texts: list[str], source: str = "string") -> DataFrame:
+    """Documents (doc_id, text, source) of given texts, numbered from 0."""
+    return spark.createDataFrame([(str(i), t, source) for i, t in enumerate(texts)], "doc_id string, text string, source string")
+
+
+def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
+    """(question, ground_truth) of a JSON array or of JSON lines; the truth may be named ground_truth, expected_answer or reference. A missing file is an error."""
+    if "://" not in path and not os.path.exists(path):
+        raise FileNotFoundError(path)
+    rows = spark.read.schema("question string, ground_truth string, expected_answer string, reference string").option("multiLine", not path.endswith("jsonl")).json(path)
+    return rows.select("question", F.coalesce("ground_truth", "expected_answer", "reference").alias("ground_truth"))
+
+
+def write_report(summary: DataFrame, details: DataFrame, path: str) -> None:
+    """An evaluation report as JSON lines: summary rates, and a row for each question."""
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    details.write.mode("overwrite").json(f"{path}/details")
+
+
 def csv_documents(spark: SparkSession, path: str) -> DataFrame:
     """One document per CSV file: `Row i: column: value, ...` lines and the number of rows; quoted line feeds are kept."""
     df = spark.read.option("header", True).option("multiLine", True).option("mode", "PERMISSIVE").csv(path)
@@ -51,15 +86,29 @@ def csv_documents(spark: SparkSession, path: str) -> DataFrame:
     return each.select("doc_id", F.array_join(F.transform("rows", lambda r, i: F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(": "), r["line"])), "\n").alias("text"), F.size("rows").alias("row_count"))
 
 
+@F.pandas_udf(StringType())
+def _indented(text: pd.Series) -> pd.Series:
+    """JSON texts indented by two blanks, others as they stand (Arrow batches)."""
+
+    def one(t: str) -> str:
+        try:
+            return json.dumps(json.loads(t), indent=2, ensure_ascii=False)
+        except ValueError:
+            return t
+
+    return text.map(one, na_action="ignore")
+
+
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One document per JSON file, pretty-printed where it is valid, else as it stands."""
-    raw = text_documents(spark, path, ("json",))
-    return raw.withColumn("text", F.coalesce(F.to_json(F.try_parse_json("text"), {"pretty": "true"}), F.col("text")))
+    """One document per JSON file, indented by two blanks where it is valid, else as it stands."""
+    return text_documents(spark, path, ("json",)).withColumn("text", _indented("text"))
 
 
-def jsonl_by_key(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines file, the last of each key; a missing file is an empty table."""
+def jsonl_by_key(spark: SparkSession, path: str, key: str, schema: str, required: bool = False) -> DataFrame:
+    """Rows of a JSON-lines file, the last of each key; a missing file is an empty table, or an error where it is `required`."""
     if "://" not in path and not os.path.exists(path):
+        if required:
+            raise FileNotFoundError(path)
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).json(path).withColumn("_at", F.monotonically_increasing_id())
     names = [c for c in rows.columns if c not in (key, "_at")]
@@ -67,11 +116,11 @@ def jsonl_by_key(spark: SparkSession, path: str, key: str, schema: str) -> DataF
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest of files indexed so far; missing or unreadable is empty."""
-    try:
-        return spark.read.schema(MANIFEST).parquet(path)
-    except Exception:  # AnalysisException of several causes
+    """The manifest of files indexed so far; a missing one is empty, an unreadable one an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(path)
 
 
 def pending(found: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stores import ChunkStore
-from ..session import table
+from ..session import shared_dir, table
 
 
 def windowed(stream: DataFrame, ts: str, by: list[str], value: str, width: str, late: str | None = None) -> DataFrame:
@@ -123,12 +122,15 @@ def cached_lookups(stream: DataFrame, tenant: str, key: str, ts: str, capacity:
 
 
 def run_to_end(stream: DataFrame | CachedLookups, path: str, mode: str) -> None:
-    """Process everything that is there now, each micro-batch written below `path`; complete results replace earlier ones."""
+    """Process everything that is there now, each micro-batch written below `path`/rows; complete results replace earlier ones.
+
+    Other results are written by batch, so that a batch taken again after a failure replaces what it left.
+    """
     if isinstance(stream, CachedLookups):
         return stream.run_to_end(path)
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={n}")
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
 
@@ -139,9 +141,8 @@ def ingest(stream: DataFrame, store: ChunkStore, progress: str, order: str | Non
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder (a temporary one only where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlspike-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder in the folder that all executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,3 +122,30 @@ def test_pipeline(spark):
     assert row.retrieved == 2 and "2 documents" in row.answer
     with pytest.raises(ValueError):
         retrieval.retrieve(corpus, q, mode="x")
+
+
+def test_hybrid_index(spark, tmp_path):
+    index = retrieval.HybridIndex(spark, str(tmp_path / "i"))
+    ask = spark.createDataFrame([(1, "alpha beta")], "query_id int, query string")
+    assert index.search(ask).count() == 0
+    index.add(spark.createDataFrame([("a", "alpha beta gamma"), ("b", "delta epsilon"), ("c", "beta only")], "doc_id string, text string"))
+    assert [r.doc_id for r in index.search(ask, 2).orderBy("rank").collect()][0] == "a"
+    index.add(spark.createDataFrame([("a", "nothing left"), ("d", "alpha beta")], "doc_id string, text string"))
+    assert index.search(ask, 1).first().doc_id == "d"
+    index.delete(spark.createDataFrame([("d",)], "doc_id string"))
+    assert "d" not in {r.doc_id for r in index.search(ask).collect()}
+    (tmp_path / "x.txt").write_text("alpha beta alpha beta")
+    index.add_file(str(tmp_path / "x.txt"))
+    assert index.search(ask, 1).first().doc_id.endswith("x.txt")
+    index.reset()
+    assert index.search(ask).count() == 0
+
+
+def test_unions_thresholds_and_unit_weights(spark):
+    ranks = spark.createDataFrame([("r", 1, "a", 1), ("r", 1, "b", 4), ("r", 2, "a", 2), ("r", 2, "c", 3)], "root string, variant int, doc_id string, rank int")
+    assert {(r.doc_id, r.best_rank) for r in fusion.unique_union(ranks).collect()} == {("a", 1), ("c", 3)}
+    assert {r.doc_id: r.matched for r in fusion.multi_query(ranks, 5).collect()} == {"a": [1, 2], "b": [1], "c": [2]}
+    hits = spark.createDataFrame([(0.2,), (0.8,)], "score double")
+    assert [fusion.within(hits, 0.5, m).first().score for m in ("similarity", "distance")] == [0.8, 0.2]
+    with pytest.raises(ValueError):
+        fusion.within(hits, 0.5, "x")

@@ -78,3 +78,40 @@ def test_store(spark, tmp_path):
 def test_sanitise(spark):
     df = spark.createDataFrame([(None, [1, 2], "a\x00b")], "a string, b array<int>, c string")
     assert tuple(stores.sanitise(df, ["a", "b", "c"]).first()) == ("", "[1,2]", "ab")
+
+
+def test_load_by_target(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"b": [1, "ü"]}')
+    (tmp_path / "bad.json").write_text("{no")
+    (tmp_path / "c.csv").write_text("x,y\n1,2\n")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "d.txt").write_text("hidden")
+    (tmp_path / "e.TXT").write_text("shown")
+    (tmp_path / "f.bin").write_bytes(b"\x00")
+    assert loaders.load(spark, str(tmp_path / "a.json")).first().text == '{\n  "b": [\n    1,\n    "ü"\n  ]\n}'
+    assert loaders.load(spark, str(tmp_path / "bad.json")).first().text == "{no"
+    assert loaders.load(spark, str(tmp_path / "c.csv")).first().text == "Row 1: x: 1, y: 2"
+    assert {r.source for r in loaders.load(spark, str(tmp_path)).collect()} == {"a.json", "bad.json", "c.csv", "e.TXT"}
+    assert [tuple(r) for r in loaders.from_texts(spark, ["t"]).collect()] == [("0", "t", "string")]
+    with pytest.raises(FileNotFoundError):
+        loaders.load(spark, str(tmp_path / "none.txt"))
+    with pytest.raises(ValueError):
+        loaders.load(spark, "https://x.test/a")
+    with pytest.raises(FileNotFoundError):
+        loaders.jsonl_by_key(spark, str(tmp_path / "qa.jsonl"), "id", "id string", required=True)
+
+
+def test_evaluation_set_and_report(spark, tmp_path):
+    (tmp_path / "e.json").write_text('[{"question": "q", "expected_answer": "a"}, {"question": "r", "reference": "b"}, {"question": "s"}]')
+    rows = loaders.evaluation_set(spark, str(tmp_path / "e.json"))
+    assert {tuple(r) for r in rows.collect()} == {("q", "a"), ("r", "b"), ("s", None)}
+    loaders.write_report(rows.groupBy().count(), rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/summary")).first()["count"] == 3 and spark.read.json(str(tmp_path / "out/details")).count() == 3
+
+
+def test_unreadable_manifest_is_an_error(spark, tmp_path):
+    assert loaders.read_manifest(spark, str(tmp_path / "m")).count() == 0
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "part-0.parquet").write_bytes(b"broken")
+    with pytest.raises(Exception):
+        loaders.read_manifest(spark, str(tmp_path / "m")).count()
