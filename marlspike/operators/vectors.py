@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_LIMIT_BYTES, table
-from .bm25 import top_k
+from .bm25 import TopK, top_k
 
 #: Rows that k-means is fitted on, chosen by hash of the id; every row is indexed.
 FIT_ROWS = 20_000
+#: Share of the clusters that a search reads.
+PROBED = 14 / 32
 #: Queries that are compared in one pass.
 BLOCK_QUERIES = 2000
 
@@ -80,7 +83,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             ids, q = block.value
             qn = np.linalg.norm(q, axis=1)
-            best_s, best_d = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), object)
+            best = TopK(len(ids), k)
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
@@ -92,14 +95,11 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
                         s = ((q[:, None, :] >= 0) == (x[None] >= 0)).mean(2) if len(ids) * x.size < 1 << 27 else np.stack([((v >= 0) == (x >= 0)).mean(1) for v in q])
                     else:
                         s = -(np.maximum(0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T))
-                    d = np.array(part.column(0).to_pylist(), object)
+                    d = part.column(0).to_pylist()
                     if exclude_self:
-                        s[np.array(ids, object)[:, None] == d[None]] = -np.inf
-                    best_s = np.concatenate([best_s, np.round(s, digits)], 1)
-                    best_d = np.concatenate([best_d, np.broadcast_to(d, s.shape)], 1)
-                    keep = np.array([np.lexsort((row_d, -row_s))[:k] for row_s, row_d in zip(best_s, best_d)])
-                    best_s, best_d = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_d, keep, 1)
-            rows = [(i, d, s) for i, ds, ss in zip(ids, best_d, best_s) for d, s in zip(ds, ss) if s > -np.inf]
+                        s[np.array(ids, object)[:, None] == np.array(d, object)[None]] = -np.inf
+                    best.add(np.round(s, digits), d)
+            rows = [(ids[q], d, s) for q, d, s in best.rows()]
             yield pa.RecordBatch.from_pydict({"query_id": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "score": pa.array([float(r[2]) for r in rows], pa.float64())},
                                              schema=pa.schema([("query_id", _arrow(qkind)), ("doc_id", _arrow(kind)), ("score", pa.float64())]))
 
@@ -120,8 +120,12 @@ def _arrow(kind: str) -> pa.DataType:
 class ClusteredIndex:
     """Vectors clustered round k-means centroids; a search reads the clusters nearest to the query only."""
 
-    def __init__(self, corpus: DataFrame, clusters: int = 32, rounds: int = 12, spill: int = 2):
-        """Centroids are fitted on at most FIT_ROWS rows (smallest id hashes); every row of `corpus` (doc_id, vector) belongs to its `spill` nearest."""
+    def __init__(self, corpus: DataFrame, clusters: int | None = None, rounds: int = 12, spill: int = 2):
+        """Centroids are fitted on at most FIT_ROWS rows (smallest id hashes); every row of `corpus` (doc_id, vector) belongs to its `spill` nearest.
+
+        Without `clusters` there are as many as the root of the rows, 32 at least.
+        """
+        clusters = clusters or max(32, math.ceil(math.sqrt(corpus.count())))
         sample = corpus.where(F.col("vector").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("vector").collect()
         x = np.array([r[0] for r in sample], np.float64).reshape(len(sample), -1)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -134,12 +138,13 @@ class ClusteredIndex:
                     self.centroids[j] = c / max(np.linalg.norm(c), 1e-12)
         self.members, self.spill = corpus.where(F.col("vector").isNotNull()).select("doc_id", "vector"), spill
 
-    def search(self, queries: DataFrame, k: int, probes: int = 14, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-        """Approximate cosine top-k of `queries` (query_id, vector).
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+        """Approximate cosine top-k of `queries` (query_id, vector), over the `probes` clusters nearest to each (PROBED of all, if not told).
 
         The query set is taken in blocks that fit `limit`. Each task multiplies its members of a cluster with the queries that probe that
         cluster and hands on its own k best per query: the shuffle carries k rows per query and task, never the pairs.
         """
+        probes = probes or math.ceil(PROBED * len(self.centroids))
         parts = [self._best(ids, matrix, queries.schema["query_id"].dataType.simpleString(), k, probes) for ids, matrix in _blocks(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"), limit)]
         if not parts:
             return self.members.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {self.members.schema['doc_id'].dataType.simpleString()}, rank int, score double")
@@ -155,7 +160,7 @@ class ClusteredIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, probed, centroids = block.value
             qn = np.linalg.norm(q, axis=1)
-            best_s, best_d = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), object)
+            best = TopK(len(ids), k)
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
@@ -167,11 +172,8 @@ class ClusteredIndex:
                         asks, held = np.flatnonzero(probed[:, j]), np.flatnonzero((near == j).any(1))
                         scale = qn[asks, None] * xn[None, held]
                         s[np.ix_(asks, held)] = np.where(scale == 0, 0.0, q[asks] @ x[held].T / np.where(scale == 0, 1, scale))
-                    best_s = np.concatenate([best_s, np.round(s, 6)], 1)
-                    best_d = np.concatenate([best_d, np.broadcast_to(np.array(part.column(0).to_pylist(), object), s.shape)], 1)
-                    keep = np.array([np.lexsort((row_d, -row_s))[:k] for row_s, row_d in zip(best_s, best_d)])
-                    best_s, best_d = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_d, keep, 1)
-            rows = [(i, d, s) for i, ds, ss in zip(ids, best_d, best_s) for d, s in zip(ds, ss) if s > -np.inf]
+                    best.add(np.round(s, 6), part.column(0).to_pylist())
+            rows = [(ids[q], d, s) for q, d, s in best.rows()]
             yield pa.RecordBatch.from_pydict({"query_id": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "score": pa.array([float(r[2]) for r in rows], pa.float64())},
                                              schema=pa.schema([("query_id", _arrow(qkind)), ("doc_id", _arrow(kind)), ("score", pa.float64())]))
 

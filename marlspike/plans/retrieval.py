@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import preview, query_lines, tokens
 from ..operators import bm25, fusion, vectors
 from ..operators.chunking import hashed_vector
-from ..session import table
+from ..session import spread, table
 from ..sources import loaders
 
 #: A model call: prompt column to reply column, null where it fails. The default always fails, so that fallbacks apply.
@@ -57,7 +57,7 @@ class Corpus:
         return Corpus(docs, None, embed)
 
     def dense(self, queries: DataFrame, k: int, where: DataFrame | None = None) -> DataFrame:
-        pool = self.docs if where is None else self.docs.join(where, "doc_id", "left_semi")
+        pool = spread(self.docs) if where is None else self.docs.join(where, "doc_id", "left_semi")
         return vectors.nearest(pool.select("doc_id", self.embed(F.col("text")).alias("vector")), queries.select("query_id", self.embed(F.col("query")).alias("vector")), k, digits=4)
 
     def sparse(self, queries: DataFrame, k: int, where: DataFrame | None = None) -> DataFrame:
