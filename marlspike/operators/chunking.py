@@ -43,20 +43,113 @@ def sentences(text: Column) -> Column:
     return F.flatten(F.transform(paragraphs, split_one))
 
 
+_BLANK = " \t\n\x0b\f\r"
+_BOUNDARY = re.compile(BOUNDARY, re.ASCII)
+_LAST = re.compile(r"\S+$", re.ASCII)
+
+
+def sentence_list(text: str) -> list[str]:
+    """As `sentences`, for one text within a task; linear in its length."""
+    out = []
+    for p in (p.strip(_BLANK) for p in text.split("\n\n")):
+        if not p:
+            continue
+        if p.startswith("```") and p.endswith("```"):
+            out.append(p)
+            continue
+        held: list[str] = []
+        groups: list[list[str]] = []
+        for part in (x.strip(_BLANK) for x in _BOUNDARY.split(p)):
+            last = _LAST.search(held[-1]) if held else None
+            word = last.group().lower() if last else ""
+            if held and (word in ABBREVIATIONS or (len(word) == 2 and word[1] == "." and word[0].isalpha())):
+                held.append(part)
+            else:
+                held = [part]
+                groups.append(held)
+        out += [s for s in (" ".join(g) for g in groups) if s]
+    return out
+
+
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, sentence) of every document with text."""
-    return docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(sentences(F.col(text_col))).alias("n", "sentence"))
+    rows = _exploded(docs, id_col, text_col, lambda t: [("", x) for x in sentence_list(t)])
+    return rows.select(id_col, F.col("chunk_index").alias("n"), F.col("chunk").alias("sentence"))
+
+
+def _vector(t: str | None) -> np.ndarray:
+    found = [zlib.crc32(w.encode()) % DIMENSIONS for w in _TERM.findall((t or "").lower())]
+    return np.bincount(found, minlength=DIMENSIONS).astype(float)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def hashed_vector(text: pd.Series) -> pd.Series:
     """Offline stand-in for an embedding model: term counts hashed into DIMENSIONS buckets (Arrow batches)."""
+    return text.map(_vector, na_action=None)
+
+
+def distance_rows(docs: DataFrame, id_col: str, text_col: str, buffer: int) -> DataFrame:
+    """(id, n, sentence, distance): sentences with the cosine distance of their window to the next one's, null for the last; one narrow stage."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, at, said, far = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                parts = sentence_list(t) if t else []
+                if not parts:
+                    continue
+                v = [_vector(" ".join(parts[max(0, k - buffer) : k + buffer + 1])) for k in range(len(parts))]
+                size = [float(np.sqrt(x @ x)) for x in v]
+                near = [float(a @ b) / (m * n) if m and n else 0.0 for a, b, m, n in zip(v, v[1:], size, size[1:])]
+                index += [i] * len(parts)
+                at += range(len(parts))
+                said += parts
+                far += [max(0.0, 1.0 - c) for c in near] + [None]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int32())), pa.array(at, pa.int32()), pa.array(said, pa.string()), pa.array(far, pa.float64())], ["chunk_key", "n", "sentence", "distance"])
+
+    src = spread(docs.select(F.col(id_col).alias("chunk_key"), F.col(text_col).alias("chunk_text")))
+    return src.mapInArrow(run, f"chunk_key {kind}, n int, sentence string, distance double").withColumnRenamed("chunk_key", id_col)
 
-    def one(t: str | None) -> np.ndarray:
-        found = [zlib.crc32(w.encode()) % DIMENSIONS for w in _TERM.findall((t or "").lower())]
-        return np.bincount(found, minlength=DIMENSIONS).astype(float)
 
-    return text.map(one, na_action=None)
+def size_list(parts: list[str], low: int = MIN_CHARS, high: int = MAX_CHARS) -> list[str]:
+    """As `guard_sizes`, with parts beyond `high` packed anew by sentences; linear, within a task."""
+    done: list[str] = []
+    held: list[str] = []
+    width = 0
+    for c in (c for c in parts if c.strip(" ")):
+        both = width + 1 + len(c) if held else len(c)
+        if len(c) < low:
+            held.append(c)
+            width = both
+        elif both <= high or not held:
+            done.append(" ".join([*held, c]))
+            held, width = [], 0
+        else:
+            done.append(" ".join(held))
+            held, width = [c], len(c)
+    if held:
+        rest = " ".join(held)
+        if done and len(done[-1]) + len(rest) + 1 <= high:
+            done[-1] = f"{done[-1]} {rest}"
+        else:
+            done.append(rest)
+    out = []
+    for c in done:
+        if len(c) <= high:
+            out.append(c)
+            continue
+        cur: list[str] = []
+        n = 0
+        for x in sentence_list(c):
+            if cur and n + len(x) + 1 > high:
+                out.append(" ".join(cur))
+                cur, n = [], 0
+            cur.append(x)
+            n += len(x) + 1
+        if cur:
+            out.append(" ".join(cur))
+    return out
 
 
 def _threshold(rows: DataFrame, id_col: str, kind: str, amount: float) -> DataFrame:
@@ -118,19 +211,25 @@ def pack(parts: Column, size: int, sep: str) -> Column:
 def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: str = "percentile", amount: float = 90.0, buffer: int = 1) -> DataFrame:
     """(id, chunk_index, chunk): sentences cut where the distance of neighbouring windows exceeds the document's threshold.
 
-    All steps are windows and aggregates per document; oversize chunks are packed anew by sentences.
+    Sentences and distances come from one pass over each text; thresholds and cuts are aggregates and windows per document; small
+    pieces are merged and oversize ones packed anew by sentences.
     """
     if threshold not in THRESHOLDS:
         raise ValueError(f"unknown threshold {threshold!r}")
     w = Window.partitionBy(id_col).orderBy("n")
-    rows = sentence_rows(docs, id_col, text_col).withColumn("window", F.array_join(F.collect_list("sentence").over(w.rowsBetween(-buffer, buffer)), " ")).withColumn("v", hashed_vector(F.col("window")))
-    rows = rows.withColumn("distance", F.when(F.lead("n").over(w).isNotNull(), F.greatest(F.lit(0.0), F.lit(1.0) - cosine(F.col("v"), F.lead("v").over(w))))).drop("v", "window")
+    rows = distance_rows(docs, id_col, text_col, buffer)
     cut = rows.join(_threshold(rows, id_col, threshold, amount), id_col, "left").withColumn("cut", F.coalesce(F.col("distance") > F.col("threshold"), F.lit(False)).cast("int"))
     seg = cut.withColumn("seg", F.coalesce(F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = seg.groupBy(id_col, "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda s: s["sentence"]), " ").alias("part"))
     whole = parts.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "part"))), lambda s: s["part"]).alias("parts"))
-    sized = F.flatten(F.transform(guard_sizes(F.col("parts")), lambda c: F.when(F.length(c) <= MAX_CHARS, F.array(c)).otherwise(pack(sentences(c), MAX_CHARS, " "))))
-    return whole.select(id_col, F.posexplode(sized).alias("chunk_index", "chunk"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, c) for i, p in enumerate(batch.column(1).to_pylist()) for n, c in enumerate(size_list(p))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int32())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["chunk_key", "chunk_index", "chunk"])
+
+    return whole.select(F.col(id_col).alias("chunk_key"), "parts").mapInArrow(run, f"chunk_key {kind}, chunk_index int, chunk string").withColumnRenamed("chunk_key", id_col)
 
 
 # --- helpers that walk one text (sequential by definition) -----------------------------------------------------------
@@ -227,6 +326,27 @@ def markdown_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(id_col, "chunk_index", F.posexplode(named).alias("part", "chunk"))
 
 
+# Where code is cut, coarsest first.
+CODE_SEPARATORS = {
+    "python": ("\nclass ", "\ndef ", "\n\tdef ", "\n\n", "\n", " ", ""), "js": ("\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nclass ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\ndefault ", "\n\n", "\n", " ", ""),
+    "java": ("\nclass ", "\npublic ", "\nprotected ", "\nprivate ", "\nstatic ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""), "go": ("\nfunc ", "\nvar ", "\nconst ", "\ntype ", "\nif ", "\nfor ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""),
+}
+
+
+def code_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", language: str = "python", size: int = 500, overlap: int = 50) -> DataFrame:
+    """(id, chunk_index, chunk) of source code, cut at its language's own boundaries; an unknown language is refused."""
+    if language not in CODE_SEPARATORS:
+        raise ValueError(f"unknown language {language!r}")
+    return _exploded(docs, id_col, text_col, lambda t: [("", c) for c in recursive_split(t, size, overlap, CODE_SEPARATORS[language])]).drop("crumb")
+
+
+def smart_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 50) -> DataFrame:
+    """(id, chunk_index, chunk): semantic chunks, and recursive ones of the documents of which those make none or one beyond `size`."""
+    semantic = semantic_chunks(docs, id_col, text_col)
+    fits = semantic.groupBy(id_col).agg((F.max(F.length("chunk")) <= MAX_CHARS).alias("ok")).where("ok").select(id_col)
+    return semantic.join(fits, id_col, "left_semi").unionByName(recursive_chunks(docs.join(fits, id_col, "left_anti"), id_col, text_col, size, overlap))
+
+
 def parent_child(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parent: int = 1600, child: int = 350) -> tuple[DataFrame, DataFrame]:
     """Parents (parent_id, id, parent_text) and children (parent_id, chunk_index, chunk); ids are hashes of document and position."""
     parents = recursive_chunks(docs, id_col, text_col, parent, 200).select(F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), "chunk_index"), 256).alias("parent_id"), id_col, F.col("chunk").alias("parent_text"))
@@ -241,7 +361,7 @@ def page_packs(pages: DataFrame, id_col: str = "id", text_col: str = "content",
     return pages.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(chunks).alias("chunk_index", "chunk"))
 
 
-STRATEGIES = {"semantic": semantic_chunks, "recursive": recursive_chunks, "markdown": markdown_chunks, "page": page_packs}
+STRATEGIES = {"semantic": semantic_chunks, "smart": smart_chunks, "code": code_chunks, "parent_child": lambda *a, **o: parent_child(*a, **o)[1], "recursive": recursive_chunks, "markdown": markdown_chunks, "page": page_packs}
 
 
 def chunk(docs: DataFrame, strategy: str, id_col: str, text_col: str, **options) -> DataFrame:

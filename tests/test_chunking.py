@@ -98,3 +98,26 @@ def test_compress(spark):
 def test_unknown(spark):
     with pytest.raises(ValueError):
         ch.chunk(None, "nope", "a", "b")
+
+
+def test_helpers_equal_the_columns(spark):
+    """The linear helpers of the tasks against the column expressions, on given documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").select("doc_id", "text")
+    rows = docs.select("text", ch.sentences(F.col("text")).alias("s")).withColumn("g", ch.guard_sizes(F.col("s"))).collect()
+    for r in rows:
+        assert ch.sentence_list(r.text) == r.s
+        if all(len(c) <= ch.MAX_CHARS for c in r.g):
+            assert ch.size_list(r.s) == r.g
+
+
+def test_code_and_smart_chunks(spark):
+    code = "import os\n\ndef a():\n    return 1\n\ndef b():\n    return 2\n" * 20
+    df = spark.createDataFrame([(1, code), (2, None), (3, ""), (4, "One sentence."), (5, "x" * 5000)], "doc_id int, text string")
+    cut = [r.chunk for r in ch.code_chunks(df).where("doc_id = 1").orderBy("chunk_index").collect()]
+    assert all(len(c) <= 500 for c in cut) and cut[1].startswith("def ")
+    with pytest.raises(ValueError):
+        ch.code_chunks(df, language="cobol")
+    got = {}
+    for r in ch.smart_chunks(df).collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    assert got[4] == ["One sentence."] and len(got[5]) >= 10 and 2 not in got and 3 not in got
