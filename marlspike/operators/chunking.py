@@ -448,4 +448,15 @@ def context_compression(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (sentence_split, semantic_chunking, recursive_chunking, markdown_chunking, page_packing, small_to_big, chunk_statistics, context_compression)}
-SQL: dict[str, str] = {}
+_PACKS = r"""WITH RECURSIVE pages AS (SELECT DISTINCT id, content FROM financebench_docs WHERE content IS NOT NULL),
+long AS (SELECT id, content, regexp_extract(content, '(?s)^(\[Company:.*?\]\n\n)', 1) AS crumb FROM pages WHERE length(content) > 1200),
+lists AS (SELECT id, crumb, string_split(substr(content, length(crumb) + 1), chr(10) || chr(10)) AS l FROM long),
+parts AS (SELECT id, crumb, unnest(l) AS part, unnest(range(1, len(l) + 1)) AS n FROM lists),
+walk AS (SELECT id, n, length(part) + 2 AS w, 0 AS pack FROM parts WHERE n = 1 UNION ALL
+SELECT p.id, p.n, CASE WHEN k.w + length(p.part) + 2 > 1200 THEN length(p.part) + 2 ELSE k.w + length(p.part) + 2 END, k.pack + CASE WHEN k.w + length(p.part) + 2 > 1200 THEN 1 ELSE 0 END FROM walk k JOIN parts p ON p.id = k.id AND p.n = k.n + 1),
+packs AS (SELECT id, pack AS chunk_index, any_value(crumb) || string_agg(part, chr(10) || chr(10) ORDER BY n) AS chunk FROM walk JOIN parts USING (id, n) GROUP BY id, pack UNION ALL SELECT id, 0, content FROM pages WHERE length(content) <= 1200)
+"""
+SQL: dict[str, str] = {
+    "page_packing": _PACKS + "SELECT * FROM packs",
+    "chunk_statistics": _PACKS + "SELECT count(*) AS n_chunks, sum(n)::BIGINT AS total_chars, sum(greatest(1, ceil(n / 4.0::DOUBLE)))::BIGINT AS total_tokens, min(n) AS min_chars, max(n) AS max_chars, round(avg(n), 2) AS mean_chars, median(n) AS median_chars, round(coalesce(stddev_samp(n), 0), 2) AS stdev_chars FROM (SELECT length(chunk) AS n FROM packs)",
+}
