@@ -165,7 +165,7 @@ _SURE = re.compile(rf"(?i)(?<!\w)(?:(?:{_INTRODUCTIONS}) {_TITLE}|(?:{'|'.join(_
 _longest_first = lambda words: "|".join(sorted(words.split("|"), key=len, reverse=True))
 _CUE = re.compile(rf"(?i)(?<!\w)(?:(?:{_longest_first(_TO_PERSON)})[:,]? |(?:{_longest_first(_ROLES)})(?:(?: is| ist| est| es|,? named| called| heißt)?[:,]?) ){_TITLE}")
 _SURE_WORDS = frozenset(_ADDRESS_FORMS.split()) | {"name", "called", "heiße", "heisse", "appelle", "nom", "llamo", "nombre"}
-_CUE_WORDS = frozenset(f"{_TO_PERSON}|{_ROLES}".replace("|", " ").split())
+_CUE_WORDS = frozenset(w.split()[0] for w in f"{_TO_PERSON}|{_ROLES}".split("|")) - {"on"} | {"behalf"}
 _STOP = frozenset(w for g in ("en", "de", "fr", "es") for w in FUNCTION_WORDS[g].split())
 #: A word: letters, figures behind the first, with apostrophes and hyphens inside.
 _NAME_WORD = re.compile(r"[^\W\d_](?:[\w'’-]*\w)?")
@@ -176,8 +176,23 @@ NAME_BUCKETS = 1 << 20
 MIN_SEATS, NAME_SHARE, COMMON_PLACES, COMMON_SHARE = 2, 0.1, 5, 0.02
 
 
+class _Memo(dict):
+    """Kinds of words, each worked out once within a task; forgotten when there are too many."""
+
+    def __init__(self, kinds: np.ndarray):
+        super().__init__()
+        self.kinds = kinds
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        low = word.lower()
+        self[word] = kind = -1 if low in _STOP else int(self.kinds[zlib.crc32(low.encode("utf-8", "replace")) % NAME_BUCKETS])
+        return kind
+
+
 class NameWords:
-    """What the corpus counts tell of a word: 1 a name word, -1 a common one, 0 neither."""
+    """What the corpus counts tell of a word, in whatever case: 1 a name word, -1 a common one, 0 neither."""
 
     def __init__(self, buckets: np.ndarray | None = None, places: np.ndarray | None = None, seats: np.ndarray | None = None):
         self.kinds = np.zeros(NAME_BUCKETS, np.int8)
@@ -186,13 +201,12 @@ class NameWords:
             self.kinds[buckets[(seats >= MIN_SEATS) & (share >= NAME_SHARE)]] = 1
             self.kinds[buckets[(places >= COMMON_PLACES) & (share < COMMON_SHARE)]] = -1
 
-    def kind(self, word: str) -> int:
-        """Kind of `word`, in whatever case."""
-        low = word.lower()
-        return -1 if low in _STOP else int(self.kinds[zlib.crc32(low.encode("utf-8", "replace")) % NAME_BUCKETS])
+    def memo(self) -> _Memo:
+        """A look-up that remembers."""
+        return _Memo(self.kinds)
 
 
-_UNFITTED = NameWords()
+_UNFITTED = NameWords().memo()
 
 
 def fit_names(df: DataFrame, text_col: str) -> NameWords:
@@ -246,15 +260,17 @@ class _Tokens:
                 yield [i], i + 1, True
 
 
-def find_names(text: str, words: NameWords = _UNFITTED) -> list[tuple[int, int]]:
+def find_names(text: str, words: _Memo = _UNFITTED) -> list[tuple[int, int]]:
     """Spans of full names in rewritten `text`, by shape, corpus counts and context."""
-    tokens = _Tokens(text)
-    low = {w.lower() for w in tokens.words}
+    kinds = [words[w] for w in _NAME_WORD.findall(text)]
+    low = set(_ANY_WORD.findall(text.lower()))
+    if 1 not in kinds and low.isdisjoint(_SURE_WORDS) and low.isdisjoint(_CUE_WORDS):
+        return []
     sure = {m.end() for m in _SURE.finditer(text)} if not low.isdisjoint(_SURE_WORDS) else set()
     cued = {m.end() for m in _CUE.finditer(text)} if not low.isdisjoint(_CUE_WORDS) else set()
-    kinds = [words.kind(w) for w in tokens.words]
     if not sure and not cued and 1 not in kinds:
         return []
+    tokens = _Tokens(text)
     capital = lambda i: tokens.words[i][0].isupper() and not tokens.words[i].isupper()
     used, spans = set(), []
 
@@ -298,7 +314,7 @@ def _before(text: str, at: int, words: int = 6) -> int:
     return at
 
 
-def find_personal_data(source: str | None, names: NameWords = _UNFITTED) -> list[tuple[str, int, int]]:
+def find_personal_data(source: str | None, names: _Memo = _UNFITTED) -> list[tuple[str, int, int]]:
     """(type, start, end) spans of `source` in order, disjoint; none for null or empty text. `names` holds the corpus counts."""
     if not source:
         return []
@@ -363,9 +379,10 @@ def scan_personal_data(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     span_type = pa.list_(pa.struct([("pii_type", pa.string()), ("span_start", pa.int32()), ("span_end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = names.value.memo()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [find_personal_data(t, names.value) for t in texts]
+            found = [find_personal_data(t, words) for t in texts]
             spans = pa.array([[{"pii_type": k, "span_start": a, "span_end": b} for k, a, b in f] for f in found], span_type)
             yield pa.RecordBatch.from_arrays([batch.column(0), spans, pa.array([redact(t, f) for t, f in zip(texts, found)], pa.string())], ["scan_key", "spans", "redacted"])
 
