@@ -97,7 +97,7 @@ _ANY_WORD = re.compile(r"[^\W\d_]+")
 def deobfuscate(source: str) -> Tape:
     """Run the three transducers; each only where a word or mark that it needs is there."""
     tape = Tape(source)
-    words = set(_ANY_WORD.findall(tape.text.lower()))
+    words = tape.words = set(_ANY_WORD.findall(tape.text.lower()))
     edits = []
     for m in _DIGIT_RUN.finditer(tape.text) if not words.isdisjoint(_DIGIT_WORDS) else ():
         last = m.start()
@@ -260,10 +260,9 @@ class _Tokens:
                 yield [i], i + 1, True
 
 
-def find_names(text: str, words: _Memo = _UNFITTED) -> list[tuple[int, int]]:
-    """Spans of full names in rewritten `text`, by shape, corpus counts and context."""
-    kinds = [words[w] for w in _NAME_WORD.findall(text)]
-    low = set(_ANY_WORD.findall(text.lower()))
+def find_names(text: str, words: _Memo, low: set[str]) -> list[tuple[int, int]]:
+    """Spans of full names in rewritten `text`, by shape, corpus counts and context; `low` holds its words in lower case."""
+    kinds = list(map(words.__getitem__, _NAME_WORD.findall(text)))
     if 1 not in kinds and low.isdisjoint(_SURE_WORDS) and low.isdisjoint(_CUE_WORDS):
         return []
     sure = {m.end() for m in _SURE.finditer(text)} if not low.isdisjoint(_SURE_WORDS) else set()
@@ -329,9 +328,7 @@ def find_personal_data(source: str | None, names: _Memo = _UNFITTED) -> list[tup
     for m in _EMAIL.finditer(text) if "@" in text else ():
         add("email", *m.span())
     if any(map(str.isdigit, text)):
-        low = text.lower()
-        words = set(_ANY_WORD.findall(low))
-        found = []
+        low, words, found = text.lower(), tape.words, []
         if not words.isdisjoint(_HINT_FIRST):
             found += [m.span() for m in _ADDRESS_NUMBER_FIRST.finditer(text)]
         if not words.isdisjoint(_HINT_STREET) or "c/" in low:
@@ -352,7 +349,7 @@ def find_personal_data(source: str | None, names: _Memo = _UNFITTED) -> list[tup
         for m in _PHONE.finditer(text):
             if not _NO_PERSON.search(text, _before(text, m.start()), m.start()):
                 add("phone", *m.span())
-    for a, b in find_names(text, names):
+    for a, b in find_names(text, names, tape.words):
         add("name", a, b)
     return sorted(spans, key=lambda s: s[1])
 
