@@ -20,12 +20,10 @@ def guard_inbound(requests: DataFrame) -> DataFrame:
 
 
 def check_outbound(answers: DataFrame, col: str = "answer") -> DataFrame:
-    """Adds warnings and the masked answer."""
-    secret = guards.scan_secrets(F.col(col))
-    counts = guards.personal_counts(F.col(col))
-    found = sum(counts.values(), F.lit(0)) > 0
-    warnings = F.concat(F.transform(secret["secrets"], lambda s: F.concat(F.lit("secret: "), s)), F.when(found, F.array(F.lit("personal data"))).otherwise(F.array().cast("array<string>")), F.transform(guards.scan_exploits(F.col(col)), lambda s: F.concat(F.lit("exploit: "), s)))
-    return answers.withColumns({"warnings": warnings, "safe_answer": guards.mask_personal(secret["masked"])})
+    """Adds warnings (harmful wordings, secrets, personal data, exploits) and the answer with all but the exploits replaced."""
+    out = guards.validate_output(answers, col)
+    exploits = F.transform(guards.scan_exploits(F.col(col)), lambda s: F.concat(F.lit("exploit "), s))
+    return out.withColumns({"warnings": F.concat("warnings", exploits), "safe_answer": F.col("safe")}).drop("safe")
 
 
 def verify_figures(answers: DataFrame, col: str = "answer", evidence: str = "context") -> DataFrame:
